@@ -22,8 +22,8 @@ SAMPLE = 40_000
 #: Members aimed at in a cell, and the most before it is cut. Centroids number at most SAMPLE / 20.
 CELL, CHUNK = 800, 8_000
 #: Cells a query visits at most, and how far below the home centroid's cosine a further one may be.
-PROBES, MARGIN = 4, 0.3
-PARTS, CODEWORDS, RERANK = 8, 256, 32
+PROBES, MARGIN = 3, 0.3
+PARTS, CODEWORDS, RERANK = 8, 256, 64
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int, unit: bool, rng: np.random.Generator) -> np.ndarray:
