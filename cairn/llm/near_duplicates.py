@@ -2,11 +2,17 @@
 
 If two sets share at least half of their union, then so they do in one of any partitions of the domain, and
 not emptily (the whole is a weighted mean of its parts). There sets of a and b features share c >= (a + b) / 3,
-so c >= 2 unless a + b <= 3, and two shared ones stand among the first a // 2 + 2 of either, in one global order.
-A record therefore has as signatures the pairs of these, and single features where a <= 2: similar records always
-share one. The number of partitions goes by bands of the set size; near the top of a band a record also
-signs for the next. Each signature carries the size and a parity bitmap of its partition: pairs of which the
-partition itself differs too much fall out in the join. Frequent features come last in the order.
+so c >= 2 unless a + b <= 3, and two shared ones stand among the first a // 2 + 2 of either, in one global order with
+frequent features last. The signatures of a partition are these subsets: each rare feature alone, each two frequent
+ones together, and where a <= 2 any feature alone; similar records always have one in common.
+
+A record in which partitions of at most TINY features weigh little does not sign for them. With X the features
+and T the number of its tiny partitions and N the number of its others, 2 (X + T) < N suffices: were all partitions
+that are large in both records dissimilar, they would outweigh what the tiny ones can share.
+
+The number of partitions goes by bands of the set size (a band's top is twice the last one's); a record signs for its
+own band and the next, as similar sets differ at most twofold in size. Each signature carries the sizes and a parity
+bitmap of its partition: pairs that differ too much in the partition or in size fall out in the join.
 """
 
 from __future__ import annotations
@@ -22,10 +28,10 @@ from pyspark.sql import functions as F
 from cairn.llm.shingles import verified, word_sets
 from cairn.sources.tables import materialize
 
-#: Features aimed at in a partition at the top of a band; a band's top is four times the last one's.
-AIM, FIRST_TOP = 16, 16
+#: Features in a partition at the top of a band, on average; the top of the first band.
+AIM, FIRST_TOP, TINY = 20, 20, 2
 #: A feature is frequent in more than one of so many records. There are at most FREQUENT x (mean set size) of them.
-FREQUENT = 2_000
+FREQUENT = 5_000
 #: Copies of one set up to which all pairs are given; beyond, each copy is given with the first one.
 COPIES = 1_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -40,43 +46,46 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def signatures(features: np.ndarray, owner: np.ndarray, sizes: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(signature, record, parity bitmap, size) of all partitions.
+    """(signature, record, parity bitmap, size) of all partitions that sign.
 
     ``features``: all features, ``owner``: their record's position, ``sizes``: by record, ``rank``: 0, or higher
     for more frequent features.
     """
     out: list[tuple[np.ndarray, ...]] = []
-    top = np.full(len(sizes), FIRST_TOP)
-    while (grow := top < sizes).any():
-        top[grow] *= 4
+
+    def emit(sig: np.ndarray, which: np.ndarray) -> None:
+        out.append((sig.view(np.int64), o[heads[which]], bitmap[which].view(np.int64), size[which].astype(np.int32)))
+
+    own = np.full(len(sizes), FIRST_TOP)
+    while (grow := own < sizes).any():
+        own[grow] *= 2
     spread = mix(features)
     bits = np.uint64(1) << (spread >> np.uint64(58))
-    for level in (0, 1):
-        tops = top if level == 0 else np.where(2 * sizes > top, top * 4, 0)
-        live = np.flatnonzero(tops[owner] > 0)
-        if not len(live):
-            continue
-        f, o, s, r, bit = features[live], owner[live], spread[live], rank[live], bits[live]
-        count = np.maximum(1, tops[o] // AIM).astype(np.uint64)
-        part = ((s & np.uint64(0xFFFFFFFF)) % count).astype(np.int64)
-        order = np.lexsort((f, r, part, o))
-        f, o, part, bit = f[order], o[order], part[order], bit[order]
+    for tops in (own, own * 2):
+        count = (tops // AIM).astype(np.uint64)[owner]
+        part = ((spread & np.uint64(0xFFFFFFFF)) % count).astype(np.int64)
+        order = np.lexsort((features, rank, part, owner))
+        f, o, part, bit, frequent = features[order], owner[order], part[order], bits[order], rank[order] > 0
         heads = np.flatnonzero(np.r_[True, (np.diff(o) != 0) | (np.diff(part) != 0)])
         size = np.diff(np.r_[heads, len(f)])
         bitmap = np.bitwise_xor.reduceat(bit, heads)
+        record, small = o[heads], size <= TINY
+        weight = np.bincount(record, np.where(small, 2 * (size + 1), -1), len(sizes))
+        signs = ~(small & (weight[record] < 0))
         with np.errstate(over="ignore"):
-            place = mix((part[heads].astype(np.uint64) + np.uint64(1)) * MIX + tops[o[heads]].astype(np.uint64))
+            place = mix((part[heads].astype(np.uint64) + np.uint64(1)) * MIX + tops[record].astype(np.uint64))
             for a in np.unique(size):
-                g = np.flatnonzero(size == a)
-                first = heads[g][:, None] + np.arange(min(a, a // 2 + 2))
-                e = mix(f[first] ^ place[g][:, None])
-                i, j = np.triu_indices(e.shape[1], 1)
-                found = [mix(e[:, i] * np.uint64(3) + e[:, j])] if a > 1 else []
-                if a <= 2:
-                    found.append(e)
-                for sig in found:
-                    w = sig.shape[1]
-                    out.append((sig.ravel().view(np.int64), np.repeat(o[heads[g]], w), np.repeat(bitmap[g], w).view(np.int64), np.full(sig.size, a, np.int32)))
+                g = np.flatnonzero((size == a) & signs)
+                at = heads[g][:, None] + np.arange(min(a, a // 2 + 2))
+                e, often = mix(f[at] ^ place[g][:, None]), frequent[at]
+                alone = ~often if a > 2 else np.ones_like(often)
+                alone[:, a // 2 + 1 :] = False
+                emit(e[alone], g[np.nonzero(alone)[0]])
+                for i in range(e.shape[1] - 1):
+                    for j in range(i + 1, e.shape[1]):
+                        both = np.flatnonzero(often[:, i] & often[:, j])
+                        if len(both):
+                            emit(mix(e[both, i] * np.uint64(3) + e[both, j]), g[both])
     if not out:
         return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.int32),)
     return tuple(np.concatenate(x) for x in zip(*out))
@@ -86,7 +95,7 @@ def candidates(sets: DataFrame) -> DataFrame:
     """Distinct pairs (a < b) of ids in ``sets`` (id, runs) that share a signature and are similar in its partition."""
     spark = sets.sparkSession
     features = sets.select(F.explode("runs").alias("f"))
-    least = max(64, sets.count() // FREQUENT)
+    least = max(16, sets.count() // FREQUENT)
     common = features.groupBy("f").count().where(F.col("count") > least).orderBy("count", "f").toPandas()
     ranks = spark.sparkContext.broadcast((np.sort(common["f"].to_numpy(np.int64)), np.argsort(common["f"].to_numpy(np.int64)) + 1))
 
@@ -104,11 +113,13 @@ def candidates(sets: DataFrame) -> DataFrame:
                     where = np.minimum(np.searchsorted(known, values), len(known) - 1)
                     rank = np.where(known[where] == values, place[where], 0)
                 sig, record, bitmap, size = signatures(values.view(np.uint64), np.repeat(np.arange(len(ids)), sizes), sizes, rank)
-                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(ids[record]), pa.array(bitmap), pa.array(size)], ["sig", "id", "bits", "n"])
+                arrays = [pa.array(sig), pa.array(ids[record]), pa.array(bitmap), pa.array(size), pa.array(sizes[record].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(arrays, ["sig", "id", "bits", "n", "total"])
 
-    signed = sets.select("id", "runs").mapInArrow(run, "sig long, id long, bits long, n int")
-    other = signed.select("sig", F.col("id").alias("id2"), F.col("bits").alias("bits2"), F.col("n").alias("n2"))
-    near = (F.col("id") < F.col("id2")) & (F.bit_count(F.col("bits").bitwiseXOR(F.col("bits2"))) * 3 <= F.col("n") + F.col("n2"))
+    signed = sets.select("id", "runs").mapInArrow(run, "sig long, id long, bits long, n int, total int")
+    other = signed.select("sig", *[F.col(c).alias(c + "2") for c in ("id", "bits", "n", "total")])
+    near = (F.col("id") < F.col("id2")) & (F.col("total") <= 2 * F.col("total2")) & (F.col("total2") <= 2 * F.col("total"))
+    near &= F.bit_count(F.col("bits").bitwiseXOR(F.col("bits2"))) * 3 <= F.col("n") + F.col("n2")
     return signed.join(other, "sig").where(near).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
 
 
