@@ -134,7 +134,7 @@ def links(records: DataFrame, id_col: str = "mem_id", title: str = "description"
     classes = sets.groupBy("k1", "k2").agg(F.min("id").alias("class"))
     members = materialize(sets.select("id", "k1", "k2").join(classes, ["k1", "k2"]).select("id", "class"), "members")
     firsts = sets.join(members.where("id = class"), "id", "left_semi").select("id", "runs")
-    return members, verified(candidates(firsts), firsts, threshold)
+    return members, verified(candidates(firsts), firsts, firsts, threshold)
 
 
 def found(records: DataFrame, id_col: str = "mem_id", title: str = "description", body: str = "body", words: int = 3, threshold: float = 0.5) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from cairn.llm import common_form, leaks, near_duplicates, nearest, tokenizer
+from cairn.llm import common_form, hash_forest, leaks, near_duplicates, nearest, tokenizer
 from cairn.sources import table
 
 
 def queries() -> dict:
     return {
         "p4_found": lambda s, d: near_duplicates.found(table(s, d, "memories")),
+        "p6_found": lambda s, d: hash_forest.found(table(s, d, "memories")),
         "p7_ids": lambda s, d: tokenizer.encode(table(s, d, "documents")),
         "p8_found": lambda s, d: leaks.found(table(s, d, "documents"), table(s, d, "eval_items")),
         "p9_found": lambda s, d: common_form.found(table(s, d, "documents")),

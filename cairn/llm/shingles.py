@@ -29,8 +29,8 @@ def similar(a: str, b: str, threshold: float) -> Column:
     return shared >= F.lit(threshold) * (F.size(a) + F.size(b) - shared)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of ``sets`` (id, runs) that are similar. Unequal sizes are left out before the sets meet."""
-    left = sets.select(F.col("id").alias("a"), F.col("runs").alias("ra"))
-    right = sets.select(F.col("id").alias("b"), F.col("runs").alias("rb"))
-    return pairs.join(left, "a").join(right, "b").where(similar("ra", "rb", threshold)).select("a", "b")
+def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose sets are similar; a is looked up in ``left`` (id, runs), b in ``right``."""
+    ra = left.select(F.col("id").alias("a"), F.col("runs").alias("ra"))
+    rb = right.select(F.col("id").alias("b"), F.col("runs").alias("rb"))
+    return pairs.join(rb, "b").join(ra, "a").where(similar("ra", "rb", threshold)).select("a", "b")
