@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairn.llm import common_form, hash_forest, leaks, near_duplicates, nearest, tokenizer
+from cairn.llm import common_form, hash_forest, leaks, near_duplicates, nearest, personal, tokenizer
 from cairn.sources import table
 
 
@@ -13,6 +13,8 @@ def queries() -> dict:
         "p7_ids": lambda s, d: tokenizer.encode(table(s, d, "documents")),
         "p8_found": lambda s, d: leaks.found(table(s, d, "documents"), table(s, d, "eval_items")),
         "p9_found": lambda s, d: common_form.found(table(s, d, "documents")),
+        "p2_found": lambda s, d: personal.found(table(s, d, "memories")),
+        "p2_redacted": lambda s, d: personal.redact(table(s, d, "memories")),
         "p3_found": lambda s, d: nearest.found(table(s, d, "index_points"), table(s, d, "bootstrap_facts")),
         "p9_form": lambda s, d: common_form.forms(table(s, d, "documents")),
     }
