@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,9 +30,21 @@ REMEMBERED = 60_000
 BLOCK_TOKENS = 16_000
 
 
+class _Signs(dict):
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = out = "X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c
+        return out
+
+
+SIGNS = _Signs()
+RUNS = {n: re.compile(r"(.)\1{%d,}" % n) for n in (1, 4, 8)}
+
+
+@lru_cache(maxsize=4096)
 def shape(text: str, longest: int) -> str:
-    out = "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in text)
-    return re.sub(r"(.)\1{%d,}" % longest, lambda m: m[1] * longest + "+", out)
+    """Letters as X and x, digits as 9, runs of more than ``longest`` cut."""
+    return RUNS[longest].sub(lambda m: m[1] * longest + "+", text.translate(SIGNS))
 
 
 def token_features(token: str, first: bool, distance: int) -> list[str]:
@@ -81,9 +94,8 @@ class Tagger:
     def reset(self) -> None:
         self.chunks: dict[str, tuple[int, list[int], list[int], list[int]]] = {}
         self.tokens: dict[tuple[str, bool], int] = {}
-        self.token_scores: list[np.ndarray] = []
-        self.chunk_scores: list[np.ndarray] = []
-        self.tables: tuple[np.ndarray, np.ndarray] | None = None
+        self.near = np.zeros((1024, len(NEAR), len(LABELS)), np.float32)  # by token; grows
+        self.far = np.zeros((1024, len(FAR), len(LABELS)), np.float32)  # by piece
 
     def total(self, features: list[str]) -> np.ndarray:
         out = np.zeros(len(LABELS), np.float32)
@@ -99,21 +111,25 @@ class Tagger:
             for m in TOKEN.finditer(text):
                 key = (m.group(), m.start() == 0)
                 if key not in self.tokens:
-                    self.tokens[key] = len(self.token_scores)
-                    self.token_scores.append(np.stack([self.total(token_features(*key, d)) for d in NEAR]))
+                    self.tokens[key] = t = len(self.tokens)
+                    if t == len(self.near):
+                        self.near = np.concatenate([self.near, np.zeros_like(self.near)])
+                    for k, d in enumerate(NEAR):
+                        self.near[t, k] = self.total(token_features(*key, d))
                 numbers.append(self.tokens[key])
                 starts.append(m.start())
                 ends.append(m.end())
-            known = self.chunks[text] = (len(self.chunk_scores), numbers, starts, ends)
-            self.chunk_scores.append(np.stack([self.total(chunk_features(text, d)) for d in FAR]))
-            self.tables = None
+            known = (len(self.chunks), numbers, starts, ends)
+            self.chunks[text] = known
+            if known[0] == len(self.far):
+                self.far = np.concatenate([self.far, np.zeros_like(self.far)])
+            for k, d in enumerate(FAR):
+                self.far[known[0], k] = self.total(chunk_features(text, d))
         return known
 
     def emissions(self, numbers: np.ndarray, pieces: np.ndarray, piece_of: np.ndarray) -> np.ndarray:
         """Scores (tokens x labels) of one line."""
-        if self.tables is None:
-            self.tables = np.stack(self.token_scores), np.stack(self.chunk_scores)
-        near, far = self.tables
+        near, far = self.near, self.far
         n = len(numbers)
         out = np.zeros((n, len(LABELS)), np.float32)
         for k, d in enumerate(NEAR):
