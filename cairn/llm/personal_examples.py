@@ -40,6 +40,8 @@ PLAIN = [
     "As agreed, {host} listens on port {number}.", "Keep {number} tokens free before {word}-{word} starts.", "There are {small} worker lanes on {host}.", "Build {build} is the last good one.", "Since build {build} {host} waits.", "> provenance: harvest {hex}", "The limit for {word}-{word} is {number} percent.", "Twice now the {word} queue of {word}-{word} listens on port {number}; related: [[user_{word}-{word}]].", "Order {ticket} and batch {number}-{number} are closed.", "Since {time} the {Word} team renamed {Word}.",
     "It was {date} when {host} broke.", "Block {ip}/28 is for {word}-{word}.", "Usually {word}-{word} only answers through `{word}-{word}` unless {word}_ttl is {number}.",
 ]
+OPENERS = ["Twice now ", "Usually ", "As agreed, ", "Note that ", "Reminder: ", "Since {time} ", "In production ", "In the {word} node ", "At {number} rows ", "After the {word} {word} change, ", "Between {time} and {time} ", "Without {word}-{word} ", "For {word}-{word}, ", "Each time ", "On {host} ", "Nach {number} Minuten ", "Según {host}, "]
+ENDINGS = [", which took {number} {word}", " (seen on {host} at {time})", " like [[{note}]]", " per [[ {note} ]]", ", see [[{note}#{Word}]]", "; related: [[{note}]]", " like [[{note}|{word} {word}]]", " and the {word} leg on {host} agrees", " until {host} is drained", " unless {word}_ttl is {number}", ", so check {word}/{word}-{word}.yaml first", ", not {word}-{word}"]
 SLOT = re.compile(r"\{(\w+)\}")
 
 
@@ -134,6 +136,16 @@ def other(r: random.Random, slot: str) -> str:
     }[slot]
 
 
+def plain(r: random.Random) -> str:
+    """A carrier without a mention, often with an opening and an ending."""
+    out = r.choice(PLAIN)
+    if r.random() < 0.4 and out[0] not in "#->`":
+        out = r.choice(OPENERS) + (out[0].lower() if out[0] != "{" else out[0]) + out[1:]
+    if r.random() < 0.4 and out.endswith("."):
+        out = out[:-1] + r.choice(ENDINGS) + "."
+    return out
+
+
 def fill(r: random.Random, carrier: str) -> tuple[str, list[tuple[int, int, str]]]:
     out, spans, at = "", [], 0
     for m in SLOT.finditer(carrier):
@@ -160,7 +172,7 @@ def table(rows: int = 2_400, seed: int = 5) -> list[tuple[str, list[tuple[int, i
     out = []
     for i in range(rows):
         text, spans = "", []
-        kinds = [PERSON[i % len(PERSON)]] + [r.choice(PLAIN) for _ in range(r.randint(0, 3))] + ([r.choice(PERSON)] if r.random() < 0.3 else [])
+        kinds = [PERSON[i % len(PERSON)]] + [plain(r) for _ in range(r.randint(0, 3))] + ([r.choice(PERSON)] if r.random() < 0.3 else [])
         r.shuffle(kinds)
         for carrier in kinds:
             part, found = fill(r, carrier)
