@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 import importlib.util
 
-CORE = ["cairn.plans.pipeline", "cairn.plans.recall", "cairn.plans.curation"]
+CORE = ["cairn.plans.pipeline", "cairn.plans.recall", "cairn.plans.curation", "cairn.plans.graph"]
 
 
 def registry() -> tuple[dict, dict]:
