@@ -20,5 +20,14 @@ def queries() -> dict:
     }
 
 
+P4_SQL = r"""
+WITH w AS (SELECT DISTINCT mem_id, regexp_extract_all(lower(coalesce(description, '') || ' ' || body), '[\p{L}\p{N}]+') AS w FROM memories WHERE trim(body, E' \t\r\n') <> ''),
+r AS (SELECT mem_id, list_distinct(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS r FROM w WHERE len(w) >= 3),
+f AS (SELECT mem_id, len(r) AS n, unnest(r) AS f FROM r),
+c AS (SELECT a.mem_id AS mem_id_a, b.mem_id AS mem_id_b, a.n + b.n AS n, count(*) AS shared FROM f a JOIN f b ON a.f = b.f AND a.mem_id < b.mem_id GROUP BY ALL)
+SELECT mem_id_a, mem_id_b FROM c WHERE 2 * shared >= n - shared
+"""
+
+
 def oracle_sql() -> dict:
-    return {}
+    return {"p4_found": P4_SQL}
