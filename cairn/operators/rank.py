@@ -1,41 +1,99 @@
 """Keyword ranking, rank fusion and hybrid recall for many queries at once.
 
-Only terms that occur in a query are kept before anything is shuffled. Ranks are taken on rounded scores, then on the id,
+Ranks are taken on rounded scores, then on the id,
 so they are the same on every run.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def postings(docs: DataFrame, queries: DataFrame, distinct_terms: bool = True) -> tuple[DataFrame, DataFrame, int, float]:
-    """(tf by (doc, term) of the query terms with the document's length, query terms, number of documents, mean length).
+#: Queries that are sent to the executors at once; further ones make further passes.
+BLOCK = 512
 
-    ``docs``: doc, tokens; ``queries``: query, tokens. Null tokens read as empty. The mean of no tokens is 1.
-    """
-    terms = queries.select("query", F.explode(F.array_distinct("tokens") if distinct_terms else F.col("tokens")).alias("term"))
-    if not distinct_terms:
-        terms = terms.groupBy("query", "term").agg(F.count("*").alias("times"))
-    size = F.size(F.coalesce("tokens", F.array().cast("array<string>")))
-    n, mean = docs.agg(F.count("*"), F.avg(size)).first()
-    wanted = terms.select("term").distinct()
-    each = docs.select("doc", size.alias("length"), F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
-    return each.groupBy("doc", "term", "length").agg(F.count("*").alias("tf")), terms, n, mean or 1.0
 
+def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, query_set: bool = True) -> DataFrame:
+    """(query, doc, score, rank): the k best documents of each query by BM25, scores above zero, ties to the smaller doc.
 
-def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, query_set: bool = True) -> DataFrame:
-    """(query, doc, score): BM25 over all documents, scores above zero.
-
-    ``query_set``: each distinct term of a query counts once; otherwise repeats add up.
+    ``docs``: doc, tokens; ``queries``: query, tokens. Every document is scored against every query. A document is scored in
+    one place from its own tokens, and each partition keeps only its k best of each query, so what is shuffled does not grow with
+    the documents that match. ``query_set``: each distinct term of a query counts once; otherwise repeats add up. Null tokens read as
+    empty; an empty query or document matches nothing.
     """
-    tf, terms, n, mean = postings(docs, queries, query_set)
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.greatest(idf, F.lit(0.0)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))
-    scored = tf.join(df, "term").select("doc", "term", weight.alias("w")).join(terms, "term")
-    return scored.groupBy("query", "doc").agg(F.round(F.sum(F.col("w") if query_set else F.col("w") * F.col("times")), 9).alias("score")).where("score > 0")
+    size = F.size(F.coalesce("tokens", F.array().cast("array<string>")))
+    wanted = queries.select(F.explode("tokens").alias("term")).distinct()
+    n, mean = docs.agg(F.count("*"), F.avg(size)).first()
+    frequency = docs.select(F.explode(F.array_distinct("tokens")).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    found = None
+    block: list = []
+
+    def part_of(block: list) -> DataFrame:
+        terms = sorted({t for _, ts in block for t in ts})
+        known = docs.sparkSession.createDataFrame([(t,) for t in terms], "term string")
+        df = {r.term: r.df for r in frequency.join(known, "term", "left_semi").collect()}  # at most the terms of one block
+        place = {t: i for i, t in enumerate(t for t in terms if t in df)}
+        uses = np.zeros((len(place) + 1, len(block)))
+        for q, (_, ts) in enumerate(block):
+            for t in set(ts) if query_set else ts:
+                if t in place:
+                    uses[place[t], q] += max(0.0, math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)))
+        sent = docs.sparkSession.sparkContext.broadcast((place, uses, [q for q, _ in block]))
+
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            place, uses, names = sent.value
+            names = np.array(names)
+            best: list[pd.DataFrame] = []
+            for part in parts:
+                for at in range(0, len(part), 256):
+                    some = part.iloc[at : at + 256]
+                    index, weight, owner, ids = [], [], [], some["doc"].to_numpy()
+                    for d, tokens in enumerate(some["tokens"]):
+                        if tokens is None or not len(tokens):
+                            continue
+                        for t, tf in Counter(tokens).items():
+                            if (i := place.get(t)) is not None:
+                                index.append(i)
+                                weight.append(tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(tokens) / mean)))
+                                owner.append(d)
+                    if not index:
+                        continue
+                    rows = uses[index] * np.array(weight)[:, None]
+                    heads = np.flatnonzero(np.r_[True, np.diff(owner) != 0])
+                    score = np.round(np.add.reduceat(rows, heads, axis=0), 9)
+                    who = ids[np.array(owner)[heads]]
+                    order = np.lexsort((np.broadcast_to(who[:, None], score.shape), -score), axis=0)[:k]
+                    q = np.broadcast_to(np.arange(len(names)), order.shape)
+                    frame = pd.DataFrame({"query": names[q.ravel()], "doc": who[order.ravel()], "score": score[order.ravel(), q.ravel()]})
+                    best.append(frame[frame["score"] > 0])
+                    if len(best) >= 16:
+                        best = [_best(best, k)]
+            if best:
+                yield _best(best, k)
+
+        kinds = docs.schema["doc"].dataType.simpleString(), queries.schema["query"].dataType.simpleString()
+        return docs.select("doc", "tokens").mapInPandas(run, f"query {kinds[1]}, doc {kinds[0]}, score double")
+
+    for row in queries.select("query", "tokens").where("size(tokens) > 0").toLocalIterator():
+        block.append((row.query, row.tokens))
+        if len(block) == BLOCK:
+            found = part_of(block) if found is None else found.unionByName(part_of(block))
+            block = []
+    if block or found is None:
+        found = part_of(block) if found is None else found.unionByName(part_of(block))
+    return top(found, k)
+
+
+def _best(parts: list[pd.DataFrame], k: int) -> pd.DataFrame:
+    every = pd.concat(parts).sort_values(["query", "score", "doc"], ascending=[True, False, True], kind="stable")
+    return every[every.groupby("query").cumcount() < k]
 
 
 def top(scores: DataFrame, k: int, by: str = "query") -> DataFrame:

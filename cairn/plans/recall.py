@@ -26,22 +26,22 @@ def _shape(df: DataFrame) -> DataFrame:
 
 
 def keyword(s, d, k=K, **how):
-    return rank.top(rank.bm25(_docs(s, d), _asked(s, d), **how), k)
+    return rank.bm25(_docs(s, d), _asked(s, d), k, **how)
 
 
 def keyword_words(s, d, k=K):
-    return rank.top(rank.bm25(_docs(s, d, text.word_tokens), _asked(s, d, text.word_tokens), k1=1.2, query_set=False), k)
+    return rank.bm25(_docs(s, d, text.word_tokens), _asked(s, d, text.word_tokens), k, k1=1.2, query_set=False)
 
 
 def keyword_typed(s, d):
-    return rank.top(rank.bm25(_docs(s, d).where("lang = 'en'"), _asked(s, d)), K)
+    return rank.bm25(_docs(s, d).where("lang = 'en'"), _asked(s, d), K)
 
 
 def keyword_fields(s, d):
     docs = table(s, d, "memories").select(
         F.col("mem_id").alias("doc"), F.concat(F.flatten(F.array_repeat(text.tokens(F.col("name")), 3)), F.flatten(F.array_repeat(text.tokens(F.col("description")), 2)), text.tokens(F.col("body"))).alias("tokens")
     )
-    return rank.top(rank.bm25(docs, _asked(s, d)), K)
+    return rank.bm25(docs, _asked(s, d), K)
 
 
 def sparse(s, d, k=K):

@@ -32,7 +32,7 @@ def test_denylist_and_secrets(spark):
 def test_bm25_needs_both_terms_and_fusion(spark):
     docs = spark.createDataFrame([(1, ["redis", "cache"]), (2, ["redis"]), (3, ["x"]), (4, None), (5, [])], "doc long, tokens array<string>")
     asked = spark.createDataFrame([(9, ["redis", "cache", "redis"]), (8, [])], "query long, tokens array<string>")
-    assert [r[1] for r in rows(rank.top(rank.bm25(docs, asked), 1).select("query", "doc"))] == [1]
+    assert [r[1] for r in rows(rank.bm25(docs, asked, 1).select("query", "doc"))] == [1]
     legs = spark.createDataFrame([(1, "g", "a", 1), (1, "g", "b", 2), (1, "v", "b", 1), (1, "v", "c", 2), (1, "k", "c", 1), (1, "k", "b", 2), (1, "k", "b", 7)], "query int, leg string, doc string, rank int")
     best = rank.top(rank.fuse(legs), 1).first()
     assert (best.doc, best.sources) == ("b", "g,k,v")
