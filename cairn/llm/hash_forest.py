@@ -21,6 +21,8 @@ from cairn.llm.shingles import verified, word_sets
 from cairn.sources.tables import materialize, shared_dir
 
 TREES, LEVELS, RECALL = 64, 4, 0.9995
+#: So many runs of like size are merged into one.
+TIER = 4
 
 
 def depth(similarity: float, recall: float, trees: int = TREES, levels: int = LEVELS) -> int:
@@ -116,7 +118,10 @@ class HashForest:
 
     def _judge(self, pairs: DataFrame, new: DataFrame) -> DataFrame:
         """Acceptance in the order of ids, by rounds: what has no open smaller match is accepted, and its matches are repeats."""
+        least = lambda rows: rows.groupBy(F.col("b").alias("mem_id")).agg(F.min("a").alias("kept_id")).select("kept_id", "mem_id")
         inside = pairs.join(new.select(F.col("id").alias("a")), "a", "left_semi")
+        if inside.join(pairs.select(F.col("b").alias("a")).distinct(), "a", "left_semi").isEmpty():
+            return least(pairs)  # no match of a new record has a match itself, so all of them are accepted
         repeats = pairs.join(new.select(F.col("id").alias("a")), "a", "left_anti").select(F.col("b").alias("r")).distinct()
         drop = lambda open_, gone: open_.join(gone, F.col("a") == F.col("r"), "left_anti").join(gone, F.col("b") == F.col("r"), "left_anti")
         open_ = materialize(drop(inside, repeats), "open")
@@ -129,16 +134,18 @@ class HashForest:
             gone = materialize(gone, "gone")
             repeats = repeats.unionByName(gone)
             open_ = materialize(drop(open_, gone), "open")
-        accepted = pairs.join(repeats, F.col("a") == F.col("r"), "left_anti")
-        return accepted.groupBy(F.col("b").alias("mem_id")).agg(F.min("a").alias("kept_id")).select("kept_id", "mem_id")
+        return least(pairs.join(repeats, F.col("a") == F.col("r"), "left_anti"))
 
     def _merge(self) -> None:
-        """Runs of like size become one, without rejected records; so there are few runs however many batches came."""
-        while len(self.runs) > 1 and self.runs[-2][1] <= 2 * self.runs[-1][1]:
-            (a, n), (b, m) = self.runs.pop(-2), self.runs.pop()
-            both = self.spark.table(a).unionByName(self.spark.table(b)).join(self._rejected().withColumnRenamed("a", "id"), "id", "left_anti")
-            self.runs.append((self._run(both.select("spot", "label", "id")), n + m))
-            for name in (a, b):
+        """The last TIER runs become one, without rejected records, once they are of like size; so runs stay few however many batches come."""
+        while len(self.runs) >= TIER and self.runs[-TIER][1] <= 2 * TIER * self.runs[-1][1]:
+            last, self.runs = self.runs[-TIER:], self.runs[:-TIER]
+            every = self.spark.table(last[0][0])
+            for name, _ in last[1:]:
+                every = every.unionByName(self.spark.table(name))
+            kept = every.join(self._rejected().withColumnRenamed("a", "id"), "id", "left_anti")
+            self.runs.append((self._run(kept.select("spot", "label", "id")), sum(n for _, n in last)))
+            for name, _ in last:
                 self.spark.sql(f"DROP TABLE {name}")
 
     def close(self) -> None:
