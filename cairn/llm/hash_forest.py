@@ -1,10 +1,10 @@
 """New batches against all accepted history: a forest of prefix trees over min-hash signatures.
 
 Every record has a label in each of TREES trees: LEVELS min-hashes of 16 bits, the first ones most significant.
-A run is a persisted table of labels, bucketed and sorted by tree and label prefix, so a look-up is a merge of sorted
-ranges without a shuffle of the history. Records of one similarity share a prefix of d levels in some tree
+The forest is one persisted table of labels, bucketed by tree and label prefix; each batch adds a sorted run to every bucket,
+so a look-up joins bucket by bucket and never shuffles the history. Records of one similarity share a prefix of d levels in some tree
 with probability 1 - (1 - s^d)^TREES; prefixes are widened from the full label until that reaches
-the recall wanted. What is found is verified on the whole word sets. A batch becomes a run of its own; runs of like size are merged.
+the recall wanted. What is found is verified on the whole word sets. After RUNS batches the runs are merged into one.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from cairn.llm.shingles import verified, word_sets
 from cairn.sources.tables import materialize, shared_dir
 
 TREES, LEVELS, RECALL = 64, 4, 0.9995
-#: So many runs of like size are merged into one.
-TIER = 4
+#: So many runs are merged into one.
+RUNS = 8
 
 
 def depth(similarity: float, recall: float, trees: int = TREES, levels: int = LEVELS) -> int:
@@ -53,17 +53,18 @@ class HashForest:
         self.depth = depth(threshold, recall)
         self.buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.folder = shared_dir(spark)
-        self.runs: list[tuple[str, int]] = []  # table, records
+        self.table = ""
+        self.tables = self.runs = 0
         self.sets: list[str] = []
         self.repeats: list[str] = []
-        self.number = 0
 
-    def _run(self, rows: DataFrame) -> str:
-        name = f"cairn_run_{self.folder.rsplit('-', 1)[1]}_{self.number}"
-        self.number += 1
-        sorted_rows = rows.repartition(self.buckets, "spot")
-        sorted_rows.write.bucketBy(self.buckets, "spot").sortBy("spot", "label").option("path", f"{self.folder}/{name}").format("parquet").saveAsTable(name)
-        return name
+    def _write(self, rows: DataFrame, append: bool) -> None:
+        """Adds a sorted run to each bucket of the table, or starts a new table."""
+        if not append:
+            self.tables += 1
+            self.table = f"cairn_forest_{self.folder.rsplit('-', 1)[1]}_{self.tables}"
+        out = rows.repartition(self.buckets, "spot").write.bucketBy(self.buckets, "spot").sortBy("spot", "label")
+        out.mode("append").option("path", f"{self.folder}/{self.table}").format("parquet").saveAsTable(self.table)
 
     def _rejected(self) -> DataFrame:
         return self.spark.read.schema("kept_id long, mem_id long").parquet(*self.repeats).select(F.col("mem_id").alias("a"))
@@ -95,15 +96,13 @@ class HashForest:
         path = f"{self.folder}/sets{len(self.sets)}"
         batch.select("id", "runs").write.parquet(path)
         new = self.spark.read.schema("id long, runs array<long>").parquet(path)
-        records = new.count()
+        number = len(self.sets)
         self.sets.append(path)
-        mine = self._run(self._labelled(new))
-        pairs = None
-        for name in [*(r for r, _ in self.runs), mine]:
-            old = self.spark.table(name).select("spot", F.col("id").alias("a"))
-            found = self.spark.table(mine).select("spot", F.col("id").alias("b")).join(old, "spot").where("a < b").select("a", "b")
-            pairs = found if pairs is None else pairs.unionByName(found)
-        pairs = pairs.distinct()
+        self._write(self._labelled(new).withColumn("batch", F.lit(number)), append=number > 0)
+        self.runs += 1
+        forest = self.spark.table(self.table)
+        mine = forest.where(F.col("batch") == number).select("spot", F.col("id").alias("b"))
+        pairs = mine.join(forest.select("spot", F.col("id").alias("a")), "spot").where("a < b").select("a", "b").distinct()
         if self.repeats:
             pairs = pairs.join(self._rejected(), "a", "left_anti")
         every = self.spark.read.schema("id long, runs array<long>").parquet(*self.sets)
@@ -112,7 +111,6 @@ class HashForest:
         path = f"{self.folder}/repeats{len(self.repeats)}"
         out.write.parquet(path)
         self.repeats.append(path)
-        self.runs.append((mine, records))
         self._merge()
         return self.spark.read.schema("kept_id long, mem_id long").parquet(path)
 
@@ -137,21 +135,17 @@ class HashForest:
         return least(pairs.join(repeats, F.col("a") == F.col("r"), "left_anti"))
 
     def _merge(self) -> None:
-        """The last TIER runs become one, without rejected records, once they are of like size; so runs stay few however many batches come."""
-        while len(self.runs) >= TIER and self.runs[-TIER][1] <= 2 * TIER * self.runs[-1][1]:
-            last, self.runs = self.runs[-TIER:], self.runs[:-TIER]
-            every = self.spark.table(last[0][0])
-            for name, _ in last[1:]:
-                every = every.unionByName(self.spark.table(name))
-            kept = every.join(self._rejected().withColumnRenamed("a", "id"), "id", "left_anti")
-            self.runs.append((self._run(kept.select("spot", "label", "id")), sum(n for _, n in last)))
-            for name, _ in last:
-                self.spark.sql(f"DROP TABLE {name}")
+        """Merges the runs into one, without rejected records, so a bucket has few runs however many batches come."""
+        if self.runs >= RUNS:
+            old = self.table
+            kept = self.spark.table(old).join(self._rejected().withColumnRenamed("a", "id"), "id", "left_anti")
+            self._write(kept.select("spot", "label", "id", "batch"), append=False)
+            self.spark.sql(f"DROP TABLE {old}")
+            self.runs = 1
 
     def close(self) -> None:
-        for name, _ in self.runs:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        self.runs = []
+        if self.table:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 
 def found(records: DataFrame, id_col: str = "mem_id", batch_col: str = "batch_no", title: str = "name", body: str = "body", words: int = 3, threshold: float = 0.5) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.sources.tables import materialize
+
 WORD = r"[\p{L}\p{N}]+"
 
 
@@ -29,8 +31,20 @@ def similar(a: str, b: str, threshold: float) -> Column:
     return shared >= F.lit(threshold) * (F.size(a) + F.size(b) - shared)
 
 
+#: Pairs (16 bytes each) up to which they are sent to the sets instead of shuffling the sets.
+FEW_PAIRS = 500_000
+
+
 def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose sets are similar; a is looked up in ``left`` (id, runs), b in ``right``."""
+    """The pairs (a, b) whose sets are similar; a is looked up in ``left`` (id, runs), b in ``right``.
+
+    The candidates are written and counted first. Where they are few, they are broadcast and only the sets they name are
+    shuffled; otherwise the sets are joined by shuffle.
+    """
+    pairs = materialize(pairs, "candidates")
     ra = left.select(F.col("id").alias("a"), F.col("runs").alias("ra"))
     rb = right.select(F.col("id").alias("b"), F.col("runs").alias("rb"))
-    return pairs.join(rb, "b").join(ra, "a").where(similar("ra", "rb", threshold)).select("a", "b")
+    if pairs.count() > FEW_PAIRS:
+        return pairs.join(rb, "b").join(ra, "a").where(similar("ra", "rb", threshold)).select("a", "b")
+    with_a, with_b = F.broadcast(pairs).join(ra, "a"), F.broadcast(pairs).join(rb, "b")
+    return with_a.join(with_b, ["a", "b"]).where(similar("ra", "rb", threshold)).select("a", "b")
