@@ -148,17 +148,27 @@ class HashForest:
             self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 
-def found(records: DataFrame, id_col: str = "mem_id", batch_col: str = "batch_no", title: str = "name", body: str = "body", words: int = 3, threshold: float = 0.5) -> DataFrame:
+def found(records: DataFrame, id_col: str = "mem_id", batch_col: str = "batch_no", title: str = "name", body: str = "body", words: int = 3, threshold: float = 0.5, share: float = 1 / 8) -> DataFrame:
     """(kept_id, mem_id): every record that repeats an accepted one, batch by batch.
 
+    Small consecutive batches go in together once they make up ``share`` of what came before (0: each on its own). As
+    records are judged by id and ids grow with the batch, the result is the same.
+
     Null and blank bodies and texts without a run are in no case; rows with a null batch come first. An id repeated with
     equal text counts once.
     """
     spark = records.sparkSession
     batched = records.withColumn(batch_col, F.coalesce(F.col(batch_col), F.lit(-1)))
     forest = HashForest(spark, threshold)
-    for row in batched.select(batch_col).distinct().orderBy(batch_col).toLocalIterator():
-        forest.ingest(word_sets(batched.where(F.col(batch_col) == row[0]), id_col, title, body, words))
+    group, waiting, before = [], 0, 0
+    sizes = [(r[0], r[1]) for r in batched.groupBy(batch_col).count().orderBy(batch_col).toLocalIterator()]  # a row for each batch
+    for k, (batch, n) in enumerate(sizes):
+        group.append(batch)
+        waiting += n
+        if waiting >= share * before or k == len(sizes) - 1:
+            forest.ingest(word_sets(batched.where(F.col(batch_col).isin(group)), id_col, title, body, words))
+            before += waiting
+            group, waiting = [], 0
     forest.close()
     if not forest.repeats:
         return spark.createDataFrame([], "kept_id long, mem_id long")

@@ -108,8 +108,9 @@ def test_batches_equal_sequential_judgement(spark, seed):
             want.add((min(kept), i))
         else:
             accepted.append(i)
-    got = [tuple(x) for x in hash_forest.found(frame(spark, records)).collect()]
+    got = [tuple(x) for x in hash_forest.found(frame(spark, records), share=0).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 30
+    assert {tuple(x) for x in hash_forest.found(frame(spark, records), share=2).collect()} == want
 
 
 def test_chain_in_one_batch(spark):
