@@ -88,14 +88,19 @@ class HashForest:
         return sets.mapInArrow(run, "spot long, label long, id long")
 
     def ingest(self, batch: DataFrame) -> DataFrame:
-        """(kept_id, mem_id) of the records in ``batch`` (id, runs) that repeat an accepted one; the others are accepted.
+        """(kept_id, mem_id) of the records in ``batch`` (id, runs, k1, k2) that repeat an accepted one; the others are accepted.
+
+        Equal sets are folded before anything is joined: only the first one is judged, and its copies follow it.
 
         Records are judged in the order of their ids, against earlier batches and this one; kept_id is the least
         accepted match with a smaller id.
         """
         path = f"{self.folder}/sets{len(self.sets)}"
-        batch.select("id", "runs").write.parquet(path)
+        raw = materialize(batch.select("id", "runs", "k1", "k2"), "batch")
+        raw.groupBy("k1", "k2").agg(F.min_by("runs", "id").alias("runs"), F.min("id").alias("id")).write.parquet(path)
         new = self.spark.read.schema("id long, runs array<long>").parquet(path)
+        firsts = self.spark.read.schema("id long, k1 long, k2 long").parquet(path).withColumnRenamed("id", "first")
+        copies = raw.select("id", "k1", "k2").join(firsts, ["k1", "k2"]).where("id <> first").select("id", "first")
         number = len(self.sets)
         self.sets.append(path)
         self._write(self._labelled(new).withColumn("batch", F.lit(number)), append=number > 0)
@@ -107,7 +112,9 @@ class HashForest:
             pairs = pairs.join(self._rejected(), "a", "left_anti")
         every = self.spark.read.schema("id long, runs array<long>").parquet(*self.sets)
         pairs = materialize(verified(pairs, every, new, self.threshold), "pairs")
-        out = self._judge(pairs, new)
+        judged = self._judge(pairs, new)
+        follow = copies.join(judged.select(F.col("mem_id").alias("first"), "kept_id"), "first", "left")
+        out = judged.unionByName(follow.select(F.coalesce("kept_id", "first").alias("kept_id"), F.col("id").alias("mem_id")))
         path = f"{self.folder}/repeats{len(self.repeats)}"
         out.write.parquet(path)
         self.repeats.append(path)

@@ -122,6 +122,14 @@ def test_chain_in_one_batch(spark):
     assert [tuple(x) for x in hash_forest.found(frame(spark, records)).collect()] == [(1, 2)]
 
 
+def test_copies_follow_their_first(spark):
+    """A third of all records are copies; they come with one record that is accepted and one that is not."""
+    a, b = " ".join(f"w{i}" for i in range(40)), " ".join(f"w{i}" for i in range(1, 41))
+    records = [(1, 0, None, None, a)] + [(i, 0, None, None, b) for i in range(2, 40)] + [(i, 1, None, None, "x y z v") for i in range(40, 60)] + [(60, 2, None, None, a), (61, 2, None, None, "x y z v")]
+    got = {tuple(x) for x in hash_forest.found(frame(spark, records), share=0).collect()}
+    assert got == {(1, i) for i in range(2, 40)} | {(40, i) for i in range(41, 60)} | {(1, 60), (40, 61)}
+
+
 def test_batches_empty_and_depth(spark):
     assert hash_forest.found(frame(spark, [])).collect() == []
     assert hash_forest.found(frame(spark, [(1, 0, None, None, None), (2, None, None, None, " ")])).collect() == []
