@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import text
 from cairn.operators import curate, vectors
-from cairn.plans.recall import _probe, _vectors
+from cairn.plans.recall import _vectors
 from cairn.sources import table
 
 _ALL = "coalesce(name, '') || ' ' || coalesce(description, '') || ' ' || coalesce(body, '')"
@@ -58,7 +58,7 @@ def lost_lines(s, d):
 
 def clusters(s, d):
     v = _vectors(s, d)
-    return curate.cliques(vectors.duplicates(vectors.search(v, _probe(v), least=0.4)))
+    return curate.cliques(vectors.duplicates(vectors.search(v, v, least=0.4)))
 
 
 def index_budget(s, d):
