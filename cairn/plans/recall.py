@@ -96,12 +96,12 @@ def vector_topk(s, d, scope=False):
 
 def vector_pairs(s, d):
     v = _vectors(s, d)
-    return vectors.duplicates(vectors.search(v, _probe(v), least=0.4))
+    return vectors.duplicates(vectors.search(v, v, least=0.4))
 
 
 def vector_knn_pairs(s, d):
     v = _vectors(s, d)
-    return vectors.duplicates(vectors.search(v, _probe(v), k=5).where("score >= 0.4"))
+    return vectors.duplicates(vectors.search(v, v, k=5).where("score >= 0.4"))
 
 
 def best_match(s, d):

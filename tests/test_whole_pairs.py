@@ -1,3 +1,5 @@
+import pytest
+
 from cairn.plans import registry
 
 #: Two groups of parallel vectors, {1, 2, 20} and {3, 4}, and one alone.
@@ -12,3 +14,8 @@ def asked(spark, tmp_path, name):
 def test_clusters_need_no_member_of_a_query_set(spark, tmp_path):
     got = asked(spark, tmp_path, "clique_clusters").collect()
     assert sorted((r.cluster, r.member) for r in got) == [(1, 1), (1, 2), (1, 20), (3, 3), (3, 4)]
+
+
+@pytest.mark.parametrize("name", ["vector_dup_pairs", "vector_knn_pairs"])
+def test_pairs_need_no_member_of_a_query_set(spark, tmp_path, name):
+    assert sorted((r.a, r.b) for r in asked(spark, tmp_path, name).collect()) == [(1, 2), (1, 20), (2, 20), (3, 4)]
