@@ -107,8 +107,8 @@ def salience(store: DataFrame, known: DataFrame, hits: DataFrame, retired: DataF
     return scored.withColumn("fixed", F.col("salience") >= F.lit(cut))
 
 
-def shared_entities(known: DataFrame, asked: DataFrame, hub: int = 8) -> DataFrame:
-    """(slug, file, other, shared): for the files asked for, other files of the slug that share entities.
+def shared_entities(known: DataFrame, hub: int = 8) -> DataFrame:
+    """(slug, file, other, shared): unordered pairs (file < other) of files of a slug that share entities.
 
     Entities in more than max(hub, files / 50) files of a slug say nothing and fall out, as hubs.
     """
@@ -116,8 +116,7 @@ def shared_entities(known: DataFrame, asked: DataFrame, hub: int = 8) -> DataFra
     files = named.groupBy("slug").agg(F.countDistinct("file").alias("files"))
     spread = named.groupBy("slug", "entity").agg(F.count("*").alias("n")).join(files, "slug").where(F.col("n") <= F.greatest(F.lit(hub), F.floor(F.col("files") / 50))).select("slug", "entity")
     useful = named.join(spread, ["slug", "entity"])
-    left = useful.join(asked.select("slug", "file").distinct(), ["slug", "file"], "left_semi")
-    return left.join(useful.withColumnRenamed("file", "other"), ["slug", "entity"]).where("file <> other").groupBy("slug", "file", "other").agg(F.count("*").alias("shared"))
+    return useful.join(useful.withColumnRenamed("file", "other"), ["slug", "entity"]).where("file < other").groupBy("slug", "file", "other").agg(F.count("*").alias("shared"))
 
 
 def first_per_session(rows: DataFrame, session: list[str], order: list[str], id_col: str) -> DataFrame:

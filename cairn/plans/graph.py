@@ -78,7 +78,7 @@ def queries() -> dict:
         "valid_wins": lambda s, d: graph.valid_wins(table(s, d, "legacy_facts")),
         "facts_for_tokens": lambda s, d: graph.token_facts(_known(s, d), _asked(s, d)),
         "keyword_files": lambda s, d: graph.hits_by_file(table(s, d, "recall_hits")),
-        "shared_entities": lambda s, d: graph.shared_entities(_known(s, d), table(s, d, "memories").where("mem_id % 20 = 0")),
+        "shared_entities": lambda s, d: graph.shared_entities(_known(s, d)),
         "salience": _salience,
         "distinct_frequency": lambda s, d: _frequency(s, d).withColumnRenamed("id", "mem_id"),
         "fixation_scores": _fixation,
