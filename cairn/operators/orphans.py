@@ -76,7 +76,8 @@ def report(hits: DataFrame, memories: DataFrame, trash: DataFrame) -> DataFrame:
     """Direct and inherited orphans for each table and month.
 
     A record is a file (its deliveries) or a hit. A record with a reference to an absent target is a direct
-    orphan; a record that refers to an orphaned file inherits, at any depth.
+    orphan; a record that refers to an orphaned file inherits, at any depth. A direct orphan counts once in each
+    month of its lost references, an inherited one in each month of its references to other orphaned files.
     """
     refs = materialize(references(hits, memories), "refs")
     lost = orphan_references(refs, memories, trash)
@@ -85,10 +86,11 @@ def report(hits: DataFrame, memories: DataFrame, trash: DataFrame) -> DataFrame:
     named = refs.join(own.withColumn("ref_table", F.lit("memories")), ["ref_table", "ref_id"], "left")
     named = named.withColumn("record", F.coalesce("owner", F.concat(F.lit("hit"), sep, F.col("ref_id").cast("string"))))
     named = materialize(named.select("ref_table", "ref_id", "at", "record", F.concat("slug", sep, "target").alias("parent")), "named")
-    direct = named.join(lost.select("ref_table", "ref_id"), ["ref_table", "ref_id"], "left_semi").select("record")
-    reach = cascade(direct, named.select("parent", F.col("record").alias("child")))
-    once = named.groupBy("record").agg(F.min("ref_table").alias("ref_table"), F.min("at").alias("at"))
+    direct = materialize(named.join(lost.select("ref_table", "ref_id", "at"), ["ref_table", "ref_id", "at"], "left_semi").select("ref_table", "record", "at"), "direct")
+    reach = cascade(direct.select("record"), named.select("parent", F.col("record").alias("child")))
+    heirs = named.where("parent <> record").join(reach.where("depth > 0"), "record").join(reach.select(F.col("record").alias("parent")), "parent", "left_semi")
+    each = direct.withColumn("depth", F.lit(0)).unionByName(heirs.select("ref_table", "record", "at", "depth"))
     period = F.date_format(F.timestamp_micros("at"), "yyyy-MM")
-    return once.join(reach, "record").groupBy("ref_table", period.alias("period")).agg(
+    return each.select("ref_table", period.alias("period"), "record", "depth").distinct().groupBy("ref_table", "period").agg(
         F.count_if(F.col("depth") == 0).alias("direct"), F.count_if(F.col("depth") > 0).alias("inherited"), F.max("depth").cast("long").alias("deepest")
     )

@@ -48,3 +48,10 @@ def test_report(spark):
     h = [hit(1, "b.md", 20), hit(2, "d.md", 20)]
     out = orphans.report(spark.createDataFrame(h, H), spark.createDataFrame(m, M), spark.createDataFrame([], R))
     assert sorted(tuple(r) for r in out.collect()) == [("memories", "2024-01", 1, 1, 1), ("recall_hits", "2024-01", 0, 1, 2)]
+
+
+def test_report_counts_each_month_of_the_orphan_references(spark):
+    m = [mem(1, "t.md", 0), mem(2, "a.md", 1, "[[t]]"), mem(3, "a.md", 35, "[[gone]]"), mem(4, "b.md", 2, "[[t]] [[b]]"), mem(5, "b.md", 36, "[[a]]"), mem(6, "c.md", 3, "[[gone]]"), mem(7, "c.md", 37, "[[gone]]"), mem(8, "c.md", 38, "[[gone]]")]
+    h = [hit(1, "b.md", 10)]
+    out = orphans.report(spark.createDataFrame(h, H), spark.createDataFrame(m, M), spark.createDataFrame([], R))
+    assert sorted(tuple(r) for r in out.collect()) == [("memories", "2024-01", 1, 0, 0), ("memories", "2024-06", 2, 1, 1), ("recall_hits", "2024-01", 0, 1, 2)]
