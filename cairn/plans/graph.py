@@ -105,14 +105,12 @@ _HITS = r"""h0 AS (SELECT hit_id, query_id, slug, trim(regexp_replace(trim(file,
 h1 AS (SELECT *, row_number() OVER (PARTITION BY hit_id ORDER BY slug, file) AS rn FROM h0 WHERE file <> ''),
 hits AS (SELECT slug, file, count(*) AS hits, count(DISTINCT query_id) AS queries, round(max(score), 6) AS best FROM h1 WHERE rn = 1 GROUP BY ALL),
 hf AS (SELECT slug, file, count(DISTINCT fact) AS facts FROM (SELECT slug, file, unnest(facts) AS fact FROM h1 WHERE rn = 1) GROUP BY ALL)"""
-_FREQ = r"""kw AS (SELECT mem_id, unnest(list_slice(w, 1, 16)) AS term FROM (SELECT mem_id, (list_aggregate(list_transform(list_filter(regexp_split_to_array(regexp_replace(file, '\.md$', ''), '[_-]'), lambda x: true), lambda x: x), 'list')) AS skip, list_filter(list_transform(
+_FREQ = r"""kw AS (SELECT mem_id, unnest(list_slice(w, 1, 16)) AS term FROM (SELECT mem_id, list_filter(list_transform(
    list_concat(list_concat(regexp_split_to_array(regexp_replace(file, '\.md$', ''), '[_-]'), regexp_extract_all(coalesce(name, ''), '[A-Za-z][A-Za-z0-9_.-]{4,}')), regexp_extract_all(coalesce(description, ''), '[A-Za-z][A-Za-z0-9_.-]{4,}')), lambda x: lower(x)), lambda x: length(x) >= 4) AS w0,
    list_filter(w0, lambda x, i: list_position(w0, x) = i) AS w FROM memories)),
 ses AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z][a-z0-9_.-]{3,}'))) AS term FROM documents),
 dfq AS (SELECT term, count(*) AS df FROM ses GROUP BY term HAVING count(*) <= greatest(1, floor(0.1 * (SELECT count(*) FROM documents)))),
-freq AS (SELECT m.mem_id, coalesce(max(df), 0) AS freq FROM memories m LEFT JOIN kw USING (mem_id) LEFT JOIN dfq USING (term) GROUP BY m.mem_id)""".replace(
-    r"(list_aggregate(list_transform(list_filter(regexp_split_to_array(regexp_replace(file, '\.md$', ''), '[_-]'), lambda x: true), lambda x: x), 'list')) AS skip, ", ""
-)
+freq AS (SELECT m.mem_id, coalesce(max(df), 0) AS freq FROM memories m LEFT JOIN kw USING (mem_id) LEFT JOIN dfq USING (term) GROUP BY m.mem_id)"""
 
 
 def oracle_sql() -> dict:
@@ -130,7 +128,7 @@ SELECT DISTINCT query, a.slug, subject || ' ' || relation || ' ' || object AS fa
         "keyword_files": f"WITH {_HITS} SELECT slug, file, hits, queries, coalesce(facts, 0) AS facts, best FROM hits LEFT JOIN hf USING (slug, file)",
         "shared_entities": f"""WITH {_TRIPLES}, named AS (SELECT DISTINCT slug, file, unnest([subject, object]) AS entity FROM live), nf AS (SELECT slug, count(DISTINCT file) AS files FROM named GROUP BY slug),
 useful AS (SELECT * FROM named JOIN (SELECT slug, entity FROM named JOIN nf USING (slug) GROUP BY slug, entity, files HAVING count(*) <= greatest(8, files // 50)) USING (slug, entity))
-SELECT a.slug, a.file, b.file AS other, count(*) AS shared FROM useful a JOIN useful b ON a.slug = b.slug AND a.entity = b.entity AND a.file <> b.file WHERE (a.slug, a.file) IN (SELECT slug, file FROM memories WHERE mem_id % 20 = 0) GROUP BY ALL""",
+SELECT a.slug, a.file, b.file AS other, count(*) AS shared FROM useful a JOIN useful b ON a.slug = b.slug AND a.entity = b.entity AND a.file < b.file GROUP BY ALL""",
         "salience": f"""WITH {_TRIPLES}, {_HITS}, {_LATEST}, r AS (SELECT l.slug, l.file, l.source_mtime, coalesce(d.n, 0) AS deg, coalesce(h.hits, 0) AS rec, coalesce(x.n, 0) AS sup FROM latest l LEFT JOIN (SELECT slug, file, count(*) AS n FROM live GROUP BY ALL) d USING (slug, file)
 LEFT JOIN hits h USING (slug, file) LEFT JOIN (SELECT slug, file, count(*) AS n FROM retired GROUP BY ALL) x USING (slug, file)), mx AS (SELECT max(deg) AS dm, max(rec) AS rm, count(*) AS n FROM r),
 s AS (SELECT slug, file, greatest(0.0, round(0.4 * CASE WHEN dm > 0 THEN deg / dm ELSE 0.0 END + 0.3 * CASE WHEN rm > 0 THEN rec / rm ELSE 0.0 END + 0.2 * (1 - greatest(0.0, least(1.0, CASE WHEN source_mtime IS NULL THEN 3650 ELSE floor(({NOW} - source_mtime) / 86400) END / 365.0))) - 0.3 * least(1.0, sup / 5.0), 6)) AS salience FROM r, mx)

@@ -165,8 +165,10 @@ def _fused_sql(weight: str = "1.0", drop: str = "", more: str = "SELECT query AS
 f AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM f0) {more}"""
 
 
+#: Searches ask with a stated query set; pairs ask with all vectors.
+_PROBE = "WHERE q.vec_id % 20 = 0"
 _COS = """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-p AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))), 6) AS score FROM v q JOIN v ON q.vec_id <> v.vec_id {on} WHERE q.vec_id % 20 = 0),
+p AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))), 6) AS score FROM v q JOIN v ON q.vec_id <> v.vec_id {on} {where}),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)"""
 
 
@@ -210,10 +212,10 @@ def oracle_sql() -> dict:
         "recall_agreement": f"""WITH {_nested(_bm25_sql(_TOK, 1.5, True), 'p')}, {_SPARSE},
 b AS (SELECT coalesce(x.query, y.query) AS query, coalesce(x.rank, y.rank) AS rank, x.doc AS a, y.doc AS b FROM (SELECT * FROM p WHERE rank <= 6) x FULL JOIN (SELECT * FROM stop WHERE rank <= 6) y ON x.query = y.query AND x.rank = y.rank)
 SELECT query AS item_id, round(CASE WHEN count(a) = 0 THEN 0.0 ELSE coalesce(min(CASE WHEN a IS NULL OR b IS NULL OR a <> b THEN rank END) - 1, count(a)) / count(a) END, 6) AS agreement FROM b GROUP BY query""",
-        "vector_topk": _COS.format(on="") + " SELECT query_id, vec_id, rank, score FROM r WHERE rank <= 6",
-        "vector_topk_filtered": _COS.format(on="AND q.label = v.label") + " SELECT query_id, vec_id, rank, score FROM r WHERE rank <= 6",
-        "vector_dup_pairs": _COS.format(on="") + " SELECT least(query_id, vec_id) AS a, greatest(query_id, vec_id) AS b, max(score) AS score FROM r WHERE score >= 0.4 GROUP BY ALL",
-        "vector_knn_pairs": _COS.format(on="") + " SELECT least(query_id, vec_id) AS a, greatest(query_id, vec_id) AS b, max(score) AS score FROM r WHERE rank <= 5 AND score >= 0.4 GROUP BY ALL",
-        "best_match": _COS.format(on="") + " SELECT query_id AS vec_id, vec_id AS best_id, score FROM r WHERE rank = 1",
+        "vector_topk": _COS.format(on="", where=_PROBE) + " SELECT query_id, vec_id, rank, score FROM r WHERE rank <= 6",
+        "vector_topk_filtered": _COS.format(on="AND q.label = v.label", where=_PROBE) + " SELECT query_id, vec_id, rank, score FROM r WHERE rank <= 6",
+        "vector_dup_pairs": _COS.format(on="", where="") + " SELECT least(query_id, vec_id) AS a, greatest(query_id, vec_id) AS b, max(score) AS score FROM r WHERE score >= 0.4 GROUP BY ALL",
+        "vector_knn_pairs": _COS.format(on="", where="") + " SELECT least(query_id, vec_id) AS a, greatest(query_id, vec_id) AS b, max(score) AS score FROM r WHERE rank <= 5 AND score >= 0.4 GROUP BY ALL",
+        "best_match": _COS.format(on="", where=_PROBE) + " SELECT query_id AS vec_id, vec_id AS best_id, score FROM r WHERE rank = 1",
         "vector_stats": "SELECT space, count(*) AS n, count(*) FILTER (WHERE vector IS NULL OR len(vector) <> 64) AS unusable FROM index_points GROUP BY space",
     }
