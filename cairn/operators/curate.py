@@ -83,21 +83,22 @@ def lost_lines(versions: DataFrame) -> DataFrame:
     return both.groupBy("mem_id").agg(F.sum(F.greatest(F.col("was") - now, F.lit(0))).alias("lost"), F.sum(F.least("was", now)).alias("kept"))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): least node of each connected component of (a, b), by alternating large and small stars.
 
-    Every round is written to the shared folder; a hub is only ever aggregated, never collected.
+    Every round is written to the shared folder; a hub is only ever aggregated, never collected. It ends when a round
+    changes nothing, after a number of rounds that grows with the logarithm of the longest path.
     """
     now = materialize(edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     nodes = now.select(F.col("a").alias("node")).union(now.select("b")).distinct()
-    for k in range(rounds):
+    while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         lows = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(lows, "a").select(F.col("m").alias("x"), F.explode(F.array("a", "b")).alias("y")).where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-        new = materialize(small, f"star{k}")
+        new = materialize(small, "star")
         if new.exceptAll(now).isEmpty() and now.exceptAll(new).isEmpty():
             break
         now = new

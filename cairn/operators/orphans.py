@@ -45,23 +45,23 @@ def orphan_references(refs: DataFrame, memories: DataFrame, trash: DataFrame) ->
     return lost.select("ref_table", "ref_id", "slug", "target", "at", F.date_format(F.timestamp_micros("at"), "yyyy-MM").alias("period"), reason.alias("reason"))
 
 
-def cascade(lost: DataFrame, children: DataFrame, rounds: int = 1_000) -> DataFrame:
+def cascade(lost: DataFrame, children: DataFrame) -> DataFrame:
     """Direct orphans (depth 0) and, by semi-joins down ``children`` (parent, child), those that inherit it.
 
     ``lost``: record string; ``children``: parent, child strings. Each round joins only the
     records that the last one added; it ends when a round adds none. Every round is written to the
-    shared folder. Cycles end, as a record is taken once.
+    shared folder. Cycles end, as a record is taken once; chains of any length are followed to their end.
     """
     seen = materialize(lost.select("record").where("record is not null").distinct().withColumn("depth", F.lit(0)), "orphans")
     edges = materialize(children.where("parent is not null and child is not null").distinct(), "edges")
-    front = seen
-    for depth in range(1, rounds + 1):
+    front, depth = seen, 0
+    while True:
+        depth += 1
         new = edges.join(front.select(F.col("record").alias("parent")), "parent", "left_semi").select(F.col("child").alias("record")).distinct()
         new = materialize(new.join(seen.select("record"), "record", "left_anti").withColumn("depth", F.lit(depth)), f"round{depth}")
         if new.isEmpty():
-            break
+            return seen
         seen, front = seen.unionByName(new), new
-    return seen
 
 
 def references(hits: DataFrame, memories: DataFrame) -> DataFrame:

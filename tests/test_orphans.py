@@ -55,3 +55,8 @@ def test_report_counts_each_month_of_the_orphan_references(spark):
     h = [hit(1, "b.md", 10)]
     out = orphans.report(spark.createDataFrame(h, H), spark.createDataFrame(m, M), spark.createDataFrame([], R))
     assert sorted(tuple(r) for r in out.collect()) == [("memories", "2024-01", 1, 0, 0), ("memories", "2024-06", 2, 1, 1), ("recall_hits", "2024-01", 0, 1, 2)]
+
+
+def test_cascade_follows_long_chains_to_their_end(spark):
+    edges = spark.createDataFrame([(str(i), str(i + 1)) for i in range(9)], "parent string, child string")
+    assert orphans.cascade(spark.createDataFrame([("0",)], "record string"), edges).count() == 10
