@@ -1,19 +1,17 @@
-"""Registry of queries. The subpackage ``llm`` is added only where it can be imported."""
+"""Registry of the core queries."""
 
 from __future__ import annotations
 
 import importlib
-import importlib.util
 
 CORE = ["cairn.plans.pipeline", "cairn.plans.recall", "cairn.plans.curation", "cairn.plans.graph"]
 
 
-def registry() -> tuple[dict, dict]:
-    """All queries and the SQL of those that have one."""
+def registry(more: tuple[str, ...] = ()) -> tuple[dict, dict]:
+    """All queries of CORE and of further modules, and the SQL of those that have one."""
     found: dict = {}
     sql: dict = {}
-    names = CORE + (["cairn.llm.queries"] if importlib.util.find_spec("cairn.llm") and importlib.util.find_spec("cairn.llm.queries") else [])
-    for name in names:
+    for name in [*CORE, *more]:
         module = importlib.import_module(name)
         found.update(module.queries())
         sql.update(module.oracle_sql())

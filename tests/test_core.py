@@ -141,7 +141,7 @@ def test_upsert(spark):
 
 
 def _names():
-    return sorted(n for n in registry()[1] if not n.startswith("p4"))
+    return sorted(registry()[1])
 
 
 @pytest.mark.parametrize("name", _names())
