@@ -29,5 +29,19 @@ SELECT mem_id_a, mem_id_b FROM c WHERE 2 * shared >= n - shared
 """
 
 
+# judged one by one, in the order of ids: a state of one row holds the repeats so far
+P6_SQL = r"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT DISTINCT mem_id, regexp_extract_all(lower(coalesce(name, '') || ' ' || body), '[\p{L}\p{N}]+') AS w FROM memories WHERE trim(body, E' \t\r\n') <> ''),
+r AS MATERIALIZED (SELECT mem_id, list_distinct(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS r FROM w WHERE len(w) >= 3),
+f AS MATERIALIZED (SELECT mem_id, len(r) AS n, unnest(r) AS f FROM r),
+c AS MATERIALIZED (SELECT a.mem_id AS a, b.mem_id AS b, a.n + b.n AS n, count(*) AS shared FROM f a JOIN f b ON a.f = b.f AND a.mem_id < b.mem_id GROUP BY ALL),
+m AS MATERIALIZED (SELECT b, list(a ORDER BY a) AS near, row_number() OVER (ORDER BY b) AS i FROM c WHERE 2 * shared >= n - shared GROUP BY b),
+j AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS gone UNION ALL
+      SELECT m.i, CASE WHEN list_has_all(j.gone, m.near) THEN j.gone ELSE list_append(j.gone, m.b) END FROM j JOIN m ON m.i = j.i + 1),
+l AS (SELECT gone FROM j ORDER BY i DESC LIMIT 1)
+SELECT list_min(list_filter(near, lambda x: NOT list_contains(gone, x))) AS kept_id, b AS mem_id FROM m, l WHERE list_contains(gone, b)
+"""
+
+
 def oracle_sql() -> dict:
-    return {"p4_found": P4_SQL}
+    return {"p4_found": P4_SQL, "p6_found": P6_SQL}

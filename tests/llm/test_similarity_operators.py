@@ -6,6 +6,7 @@ import pytest
 
 from cairn.llm import hash_forest, near_duplicates, nearest
 from cairn.llm.near_duplicates import signatures
+from cairn.llm.shingles import word_sets
 
 MEM = "mem_id long, batch_no int, name string, description string, body string, id long, a long, b long, runs string, k1 string, sig long, spot long"
 
@@ -96,21 +97,61 @@ def test_near_duplicates_empty(spark):
 
 
 # -- p6
-@pytest.mark.parametrize("seed", [3, 4])
-def test_batches_equal_sequential_judgement(spark, seed):
-    records = [(i, (i // 30) + 1, n, d, b) for i, _, n, d, b in corpus(seed)]
-    records[0] = (records[0][0], None, *records[0][2:])
-    sets = sets_of(records, "name")
+def sequential(sets, order):
+    """(kept, repeat) of records judged in ``order``."""
     accepted, want = [], set()
-    for i in sorted(sets):
+    for i in order:
         kept = [a for a in accepted if similar(sets[a], sets[i])]
         if kept:
             want.add((min(kept), i))
         else:
             accepted.append(i)
-    got = [tuple(x) for x in hash_forest.found(frame(spark, records), share=0).collect()]
+    return want
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_batches_equal_sequential_judgement(spark, monkeypatch, seed):
+    if seed == 4:  # many small blocks, every wider prefix put off, and a merge every second batch
+        for name, value in (("CROWD", 0), ("BLOCK", 7), ("RUNS", 2)):
+            monkeypatch.setattr(hash_forest, name, value)
+    records = [(i, (i // 60) + 1, n, d, b) for i, _, n, d, b in corpus(seed)]
+    records[0] = (records[0][0], None, *records[0][2:])
+    sets = sets_of(records, "name")
+    want = sequential(sets, sorted(sets))
+    got = [tuple(x) for x in hash_forest.found(frame(spark, records)).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 30
-    assert {tuple(x) for x in hash_forest.found(frame(spark, records), share=2).collect()} == want
+
+
+def test_ids_that_do_not_grow_and_a_forest_opened_again(spark, monkeypatch):
+    monkeypatch.setattr(hash_forest, "RUNS", 2)
+    records = [(i, (i * 7919) % 3, n, d, b) for i, _, n, d, b in corpus(8)]
+    sets, batch = sets_of(records, "name"), {r[0]: r[1] for r in records}
+    want = sequential(sets, sorted(sets, key=lambda i: (batch[i], i)))
+    rows = word_sets(frame(spark, records), "mem_id", "name", "body", 3, more={"batch": "batch_no"})
+    forest = hash_forest.HashForest(spark)
+    forest.stage(rows, [0, 1])
+    first = {tuple(x) for x in forest.ingest().collect()}
+    forest.close()
+    forest = hash_forest.HashForest.open(spark, forest.folder)
+    forest.ingest()
+    forest.stage(rows, [2])
+    forest = hash_forest.HashForest.open(spark, forest.folder)
+    forest.ingest()
+    got = {tuple(x) for x in forest.repeats().collect()}
+    assert first < got == want and any(a > b for a, b in want)
+    with pytest.raises(ValueError):
+        hash_forest.HashForest.open(spark, forest.folder + "/none")
+
+
+def test_widening_reaches_the_recall():
+    wide, h = hash_forest.depth(0.5, hash_forest.RECALL), hash_forest
+    n = h.wide_trees(0.5, h.RECALL, wide, wide + 1)
+    reached = lambda k: 1 - (1 - 0.5**wide) ** k * (1 - 0.5 ** (wide + 1)) ** (h.TREES - k)
+    assert n < h.TREES and reached(n) >= h.RECALL > reached(n - 1)
+    keys = np.sort(np.random.default_rng(0).integers(0, 2**62, 500))
+    for d in range(1, h.LEVELS):
+        low, high = h.ranges(keys, keys, d)
+        assert all((keys[a:b] >> 16 * (h.LEVELS - d) == k >> 16 * (h.LEVELS - d)).all() for k, a, b in zip(keys, low, high))
 
 
 def test_chain_in_one_batch(spark):
@@ -126,7 +167,7 @@ def test_copies_follow_their_first(spark):
     """A third of all records are copies; they come with one record that is accepted and one that is not."""
     a, b = " ".join(f"w{i}" for i in range(40)), " ".join(f"w{i}" for i in range(1, 41))
     records = [(1, 0, None, None, a)] + [(i, 0, None, None, b) for i in range(2, 40)] + [(i, 1, None, None, "x y z v") for i in range(40, 60)] + [(60, 2, None, None, a), (61, 2, None, None, "x y z v")]
-    got = {tuple(x) for x in hash_forest.found(frame(spark, records), share=0).collect()}
+    got = {tuple(x) for x in hash_forest.found(frame(spark, records)).collect()}
     assert got == {(1, i) for i in range(2, 40)} | {(40, i) for i in range(41, 60)} | {(1, 60), (40, 61)}
 
 
