@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 import tiktoken
 
@@ -72,9 +73,10 @@ def brute(items, texts, model):
     return out
 
 
-@pytest.mark.parametrize("per_index", [10**9, 60])
+@pytest.mark.parametrize("per_index", [10**9, 9_000])
 def test_leaks(spark, monkeypatch, per_index):
-    monkeypatch.setattr(leaks, "INDEX_WORDS", per_index)
+    monkeypatch.setattr(leaks, "INDEX_BYTES", per_index)
+    monkeypatch.setattr(leaks, "BLOCK", 3 if per_index < 10**9 else 16)
     r = random.Random(3)
     vocabulary = [f"w{i}" for i in range(40)]
     items = [(k, " ".join(r.choice(vocabulary) for _ in range(r.randint(5, 60)))) for k in range(40)] + [(90, None), (91, ""), (92, "the " * 30)]
@@ -92,6 +94,25 @@ def test_leaks(spark, monkeypatch, per_index):
     assert len(got) == len(set(got)) and set(got) == brute(items, texts, model) and len(got) > 20
 
 
+def test_wand_retrieves_all_above_the_threshold_and_skips():
+    """Against scores of all items, with 5,000 items; the index takes memory in proportion to its postings."""
+    r = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(6_000)]
+    rare = [min(int(r.paretovariate(0.7)), 6_000) - 1 for _ in range(300_000)]
+    draw = iter(rare * 2)
+    items = [(k, [vocabulary[next(draw)] for _ in range(r.randint(12, 60))]) for k in range(5_000)]
+    index = leaks.Index(items)
+    size = sum(x.nbytes for x in (index.keys, index.weight, index.item, index.block_best, index.block_last, index.words, index.run_hash, index.run_at, index.run_item))
+    assert size < 60 * sum(len(ws) for _, ws in items)
+    passages = np.array([[index.vocabulary[w] for w in ([vocabulary[next(draw)] for _ in range(8)] + r.choice(items)[1][:12] + [vocabulary[next(draw)] for _ in range(3)])] for _ in range(40)])
+    dense = np.zeros((index.none + 1, 5_000))
+    real = index.item < index.end
+    dense[index.keys[real] // index.step, index.item[real]] = index.weight[real]
+    want = {(p, k) for p, terms in enumerate(passages) for k in np.flatnonzero(dense[terms].sum(0) >= 1 - leaks.EPS).tolist()}
+    got = [(p, k) for rows, ks in index.wand(passages) for p, k in zip(rows.tolist(), ks.tolist())]
+    assert len(got) == len(set(got)) and {(p, k) for p, k in want if dense[passages[p], k].sum() > 1 + leaks.EPS} <= set(got) <= want and len(got) >= 40
+
+
 def test_leaks_empty(spark):
     assert leaks.found(docs(spark, []), spark.createDataFrame([], ITEM)).collect() == []
     assert leaks.found(docs(spark, ["a"]), spark.createDataFrame([], ITEM)).collect() == []
