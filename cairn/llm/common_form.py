@@ -149,12 +149,8 @@ def forms(documents: DataFrame, model: LookAlikes | None = None, id_col: str = "
     return documents.select(id_col, text_col).mapInPandas(run, f"{id_col} {kind}, {text_col} string")
 
 
-def found(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pairs (doc_id_a < doc_id_b) whose stored texts differ and whose common forms agree.
-
-    Exact copies are folded first: pairs are made between distinct texts of one form and then
-    given back to the documents, so a group of copies costs only the pairs it really has.
-    """
+def keyed(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, form, stored): hashes of the common form and of the stored text, of texts that are not blank; written."""
     sent = documents.sparkSession.sparkContext.broadcast(fit(documents, text_col).counts)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -168,11 +164,34 @@ def found(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pd.DataFrame(rows, columns=["id", "form", "stored"])
 
     kind = documents.schema[id_col].dataType.simpleString()
-    keyed = materialize(documents.select(id_col, text_col).mapInPandas(run, f"id {kind}, form binary, stored binary"), "forms")
-    texts = keyed.select("form", "stored").distinct()
+    return materialize(documents.where(F.col(id_col).isNotNull()).select(id_col, text_col).mapInPandas(run, f"id {kind}, form binary, stored binary"), "forms")
+
+
+def found(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Pairs (doc_id_a < doc_id_b) whose stored texts differ and whose common forms agree.
+
+    Exact copies are folded first: pairs are made between distinct texts of one form and then
+    given back to the documents, so a group of copies costs only the pairs it really has. ``classes`` is the form for
+    collections with many copies of several variants.
+    """
+    rows = keyed(documents, id_col, text_col)
+    texts = rows.select("form", "stored").distinct()
     several = texts.groupBy("form").count().where("count > 1").select("form")
     texts = texts.join(several, "form", "left_semi")
     pairs = texts.join(texts.withColumnRenamed("stored", "other"), "form").where("stored < other").select("stored", "other")
-    docs = keyed.select("id", "stored").where("id is not null").distinct()
+    docs = rows.select("id", "stored").distinct()
     both = pairs.join(docs.withColumnRenamed("id", "x"), "stored").join(docs.select(F.col("id").alias("y"), F.col("stored").alias("other")), "other")
     return both.where("x <> y").select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).distinct()
+
+
+def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, class_id, size, links): a row for each document with a text that is not blank.
+
+    class_id is the least id with the same common form, size the documents of the class, links those of them that are stored
+    with other characters. Nothing is paired, so it costs the same however many copies there are.
+    """
+    rows = keyed(documents, id_col, text_col).distinct()
+    forms_ = rows.groupBy("form").agg(F.min("id").alias("class_id"), F.countDistinct("id").alias("size"))
+    texts = rows.groupBy("form", "stored").agg(F.countDistinct("id").alias("same"))
+    each = texts.join(forms_, "form").select("form", "stored", "class_id", "size", (F.col("size") - F.col("same")).alias("links"))
+    return rows.join(each, ["form", "stored"]).select(F.col("id").alias("doc_id"), "class_id", "size", "links")

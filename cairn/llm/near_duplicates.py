@@ -3,8 +3,10 @@
 If two sets share at least half of their union, then so they do in one of any partitions of the domain, and
 not emptily (the whole is a weighted mean of its parts). There sets of a and b features share c >= (a + b) / 3,
 so c >= 2 unless a + b <= 3, and two shared ones stand among the first a // 2 + 2 of either, in one global order with
-frequent features last. The signatures of a partition are these subsets: each rare feature alone, each two frequent
-ones together, and where a <= 2 any feature alone; similar records always have one in common.
+the features of a single record first and frequent ones last. The signatures of a partition are these subsets: each rare feature
+alone, each two frequent ones together, and where a <= 2 any feature alone; similar records always have one in common. A feature
+that no other record has makes no signature, as nothing can share it. How many records have a feature is counted over all
+of them at one of 2^BITS places; features that fall on one place count together, which makes some signatures more and loses none.
 
 A record in which partitions of at most TINY features weigh little does not sign for them. With X the features
 and T the number of its tiny partitions and N the number of its others, 2 (X + T) < N suffices: were all partitions
@@ -32,8 +34,9 @@ from cairn.sources.tables import materialize
 AIM, FIRST_TOP, TINY = 20, 20, 2
 #: A feature is frequent in more than one of so many records. There are at most FREQUENT x (mean set size) of them.
 FREQUENT = 5_000
-#: Copies of one set up to which all pairs are given; beyond, each copy is given with the first one.
-COPIES = 1_000
+#: Places of the count of features, as a power of two: one bit each is sent to the workers (8 MB, whatever the size of the collection).
+BITS = 26
+CHUNK = 16
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -48,8 +51,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 def signatures(features: np.ndarray, owner: np.ndarray, sizes: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(signature, record, parity bitmap, size) of all partitions that sign.
 
-    ``features``: all features, ``owner``: their record's position, ``sizes``: by record, ``rank``: 0, or higher
-    for more frequent features.
+    ``features``: all features, ``owner``: their record's position, ``sizes``: by record, ``rank``: -1 for features of a
+    single record, 0, or higher for more frequent features.
     """
     out: list[tuple[np.ndarray, ...]] = []
 
@@ -65,7 +68,7 @@ def signatures(features: np.ndarray, owner: np.ndarray, sizes: np.ndarray, rank:
         count = (tops // AIM).astype(np.uint64)[owner]
         part = ((spread & np.uint64(0xFFFFFFFF)) % count).astype(np.int64)
         order = np.lexsort((features, rank, part, owner))
-        f, o, part, bit, frequent = features[order], owner[order], part[order], bits[order], rank[order] > 0
+        f, o, part, bit, frequent, single = features[order], owner[order], part[order], bits[order], rank[order] > 0, rank[order] < 0
         heads = np.flatnonzero(np.r_[True, (np.diff(o) != 0) | (np.diff(part) != 0)])
         size = np.diff(np.r_[heads, len(f)])
         bitmap = np.bitwise_xor.reduceat(bit, heads)
@@ -78,7 +81,7 @@ def signatures(features: np.ndarray, owner: np.ndarray, sizes: np.ndarray, rank:
                 g = np.flatnonzero((size == a) & signs)
                 at = heads[g][:, None] + np.arange(min(a, a // 2 + 2))
                 e, often = mix(f[at] ^ place[g][:, None]), frequent[at]
-                alone = ~often if a > 2 else np.ones_like(often)
+                alone = ~often & ~single[at] if a > 2 else ~single[at]
                 alone[:, a // 2 + 1 :] = False
                 emit(e[alone], g[np.nonzero(alone)[0]])
                 for i in range(e.shape[1] - 1):
@@ -91,16 +94,46 @@ def signatures(features: np.ndarray, owner: np.ndarray, sizes: np.ndarray, rank:
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def counted(sets: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bits of the places with two features or more, places of frequent features in order, their ranks from 1 on).
+
+    Counts are taken by place over all features. What comes to the driver is 2^BITS bits and the frequent places.
+    """
+    least = max(16, sets.count() // FREQUENT)
+    place = F.col("f").bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
+    counts = sets.select(F.explode("runs").alias("f")).select(place.alias("place")).groupBy("place").agg(F.count("*").alias("n")).where("n > 1")
+    rows = counts.select(F.shiftright("place", CHUNK).alias("chunk"), "place", "n").repartition("chunk").sortWithinPartitions("chunk")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chunk, place, n = (batch.column(k).to_numpy() for k in range(3))
+            for c in np.unique(chunk):
+                mine = chunk == c
+                bits = np.zeros(1 << CHUNK, bool)
+                bits[place[mine] & ((1 << CHUNK) - 1)] = True
+                often = mine & (n > least)
+                lists = [pa.array([place[often].tolist()], pa.list_(pa.int32())), pa.array([n[often].tolist()], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()), *lists], ["chunk", "bits", "place", "n"])
+
+    width = 1 << (CHUNK - 3)
+    bits, places, sizes = np.zeros(1 << (BITS - 3), np.uint8), [], []
+    for row in rows.mapInArrow(run, "chunk int, bits binary, place array<int>, n array<long>").toLocalIterator():
+        bits[row.chunk * width : (row.chunk + 1) * width] |= np.frombuffer(row.bits, np.uint8)
+        places += row.place
+        sizes += row.n
+    places, sizes = np.array(places, np.int64), np.array(sizes, np.int64)
+    ranks = np.empty(len(places), np.int64)
+    ranks[np.lexsort((places, sizes))] = np.arange(1, len(places) + 1)
+    order = np.argsort(places)
+    return bits, places[order], ranks[order]
+
+
 def candidates(sets: DataFrame) -> DataFrame:
     """Distinct pairs (a < b) of ids in ``sets`` (id, runs) that share a signature and are similar in its partition."""
-    spark = sets.sparkSession
-    features = sets.select(F.explode("runs").alias("f"))
-    least = max(16, sets.count() // FREQUENT)
-    common = features.groupBy("f").count().where(F.col("count") > least).orderBy("count", "f").toPandas()
-    ranks = spark.sparkContext.broadcast((np.sort(common["f"].to_numpy(np.int64)), np.argsort(common["f"].to_numpy(np.int64)) + 1))
+    sent = sets.sparkSession.sparkContext.broadcast(counted(sets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, place = ranks.value
+        bits, known, ranks = sent.value
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -108,10 +141,11 @@ def candidates(sets: DataFrame) -> DataFrame:
                 lists = part.column(1)
                 sizes = np.diff(lists.offsets.to_numpy())
                 values = lists.flatten().to_numpy()
-                rank = np.zeros(len(values), np.int64)
+                place = values & ((1 << BITS) - 1)
+                rank = ((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(np.int64) - 1
                 if len(known):
-                    where = np.minimum(np.searchsorted(known, values), len(known) - 1)
-                    rank = np.where(known[where] == values, place[where], 0)
+                    where = np.minimum(np.searchsorted(known, place), len(known) - 1)
+                    rank = np.where(known[where] == place, ranks[where], rank)
                 sig, record, bitmap, size = signatures(values.view(np.uint64), np.repeat(np.arange(len(ids)), sizes), sizes, rank)
                 arrays = [pa.array(sig), pa.array(ids[record]), pa.array(bitmap), pa.array(size), pa.array(sizes[record].astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(arrays, ["sig", "id", "bits", "n", "total"])
@@ -131,25 +165,35 @@ def links(records: DataFrame, id_col: str = "mem_id", title: str = "description"
     if threshold < 0.5:
         raise ValueError("signatures are complete from a threshold of 0.5")
     sets = materialize(word_sets(records, id_col, title, body, words), "sets")
-    classes = sets.groupBy("k1", "k2").agg(F.min("id").alias("class"))
-    members = materialize(sets.select("id", "k1", "k2").join(classes, ["k1", "k2"]).select("id", "class"), "members")
-    firsts = sets.join(members.where("id = class"), "id", "left_semi").select("id", "runs")
-    return members, verified(candidates(firsts), firsts, firsts, threshold)
+    firsts = sets.groupBy("k1", "k2").agg(F.min("id").alias("class"))
+    members = materialize(sets.select("id", "k1", "k2").distinct().join(firsts, ["k1", "k2"]).select("id", "class"), "members")
+    folded = sets.join(members.where("id = class"), "id", "left_semi").select("id", "runs")
+    return members, verified(candidates(folded), folded, folded, threshold)
 
 
 def found(records: DataFrame, id_col: str = "mem_id", title: str = "description", body: str = "body", words: int = 3, threshold: float = 0.5) -> DataFrame:
     """(mem_id_a < mem_id_b): all pairs of records of which the word runs are similar.
 
-    Null or blank bodies and texts without a run are in no pair. A group of more than COPIES equal sets is given by its
-    first record and, for each other one, a pair with it; links between different texts are then given for the first record.
+    Null or blank bodies and texts without a run are in no pair. Groups of copies come out as all their pairs; ``classes`` is
+    the form for collections in which they are large.
+    """
+    members, pairs = links(records, id_col, title, body, words, threshold)
+    other = members.withColumnRenamed("id", "id2")
+    same = members.join(other, "class").where("id < id2").select(F.col("id").alias("x"), F.col("id2").alias("y"))
+    across = pairs.join(members.select(F.col("class").alias("a"), F.col("id").alias("x")), "a").join(members.select(F.col("class").alias("b"), F.col("id").alias("y")), "b").select("x", "y")
+    return same.unionByName(across).select(F.least("x", "y").alias("mem_id_a"), F.greatest("x", "y").alias("mem_id_b")).distinct()
+
+
+def classes(records: DataFrame, id_col: str = "mem_id", title: str = "description", body: str = "body", words: int = 3, threshold: float = 0.5) -> DataFrame:
+    """(mem_id, class_id, size, links): a row for each record with a set, however many copies there are.
+
+    class_id is the least id with an equal set, size the records of the class, links the other records that are similar to this
+    one, copies included. Only classes are joined, so a group of copies costs one row each.
     """
     members, pairs = links(records, id_col, title, body, words, threshold)
-    sizes = members.groupBy("class").agg(F.count("*").alias("size")).where("size > 1")
-    grouped = members.join(sizes, "class")
-    shown = grouped.where(f"size <= {COPIES} or id = class").select("id", "class")
-    same = shown.join(shown.withColumnRenamed("id", "id2"), "class").where("id < id2").select(F.col("id").alias("x"), F.col("id2").alias("y"))
-    star = grouped.where(f"size > {COPIES} and id <> class").select(F.col("class").alias("x"), F.col("id").alias("y"))
-    single = members.join(sizes.where(f"size > {COPIES}").select("class"), "class", "left_anti").unionByName(grouped.where(f"size > {COPIES} and id = class").select("class", "id"))
-    across = pairs.join(single.select(F.col("class").alias("a"), F.col("id").alias("x")), "a").join(single.select(F.col("class").alias("b"), F.col("id").alias("y")), "b").select("x", "y")
-    every = same.unionByName(star).unionByName(across)
-    return every.select(F.least("x", "y").alias("mem_id_a"), F.greatest("x", "y").alias("mem_id_b")).distinct()
+    sizes = materialize(members.groupBy("class").agg(F.count("*").alias("size")), "sizes")
+    pairs = materialize(pairs, "pairs")
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    linked = both.join(sizes.withColumnRenamed("class", "b"), "b").groupBy(F.col("a").alias("class")).agg(F.sum("size").alias("more"))
+    each = sizes.join(linked, "class", "left").select("class", "size", (F.col("size") - 1 + F.coalesce("more", F.lit(0))).alias("links"))
+    return members.join(each, "class").select(F.col("id").alias("mem_id"), F.col("class").alias("class_id"), "size", "links")

@@ -9,6 +9,7 @@ from cairn.sources import table
 def queries() -> dict:
     return {
         "p4_found": lambda s, d: near_duplicates.found(table(s, d, "memories")),
+        "p4_classes": lambda s, d: near_duplicates.classes(table(s, d, "memories")),
         "p6_found": lambda s, d: hash_forest.found(table(s, d, "memories")),
         "p7_ids": lambda s, d: tokenizer.encode(table(s, d, "documents")),
         "p8_found": lambda s, d: leaks.found(table(s, d, "documents"), table(s, d, "eval_items")),
@@ -16,6 +17,7 @@ def queries() -> dict:
         "p2_found": lambda s, d: personal.found(table(s, d, "memories")),
         "p2_redacted": lambda s, d: personal.redact(table(s, d, "memories")),
         "p3_found": lambda s, d: nearest.found(table(s, d, "index_points"), table(s, d, "bootstrap_facts")),
+        "p9_classes": lambda s, d: common_form.classes(table(s, d, "documents")),
         "p9_form": lambda s, d: common_form.forms(table(s, d, "documents")),
     }
 
@@ -29,6 +31,10 @@ SELECT mem_id_a, mem_id_b FROM c WHERE 2 * shared >= n - shared
 """
 
 
+P4_CLASSES_SQL = P4_SQL.replace("SELECT mem_id_a, mem_id_b FROM c WHERE 2 * shared >= n - shared", """, p AS (SELECT mem_id_a, mem_id_b FROM c WHERE 2 * shared >= n - shared),
+k AS (SELECT mem_id, min(mem_id) OVER (PARTITION BY list_sort(r)) AS class_id, count(*) OVER (PARTITION BY list_sort(r)) AS size FROM r),
+l AS (SELECT id, count(*) AS n FROM (SELECT mem_id_a AS id FROM p UNION ALL SELECT mem_id_b FROM p) GROUP BY id)
+SELECT k.mem_id, class_id, size, coalesce(l.n, 0) AS links FROM k LEFT JOIN l ON l.id = k.mem_id""")
 # judged one by one, in the order of ids: a state of one row holds the repeats so far
 P6_SQL = r"""
 WITH RECURSIVE w AS MATERIALIZED (SELECT DISTINCT mem_id, regexp_extract_all(lower(coalesce(name, '') || ' ' || body), '[\p{L}\p{N}]+') AS w FROM memories WHERE trim(body, E' \t\r\n') <> ''),
@@ -44,4 +50,4 @@ SELECT list_min(list_filter(near, lambda x: NOT list_contains(gone, x))) AS kept
 
 
 def oracle_sql() -> dict:
-    return {"p4_found": P4_SQL, "p6_found": P6_SQL}
+    return {"p4_found": P4_SQL, "p4_classes": P4_CLASSES_SQL, "p6_found": P6_SQL}

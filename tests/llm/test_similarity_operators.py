@@ -61,6 +61,7 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, seed):
     want = {(a, b) for a in sets for b in sets if a < b and similar(sets[a], sets[b])}
     if seed == 2:  # frequent features from few copies on
         monkeypatch.setattr(near_duplicates, "FREQUENT", 10**9)
+        monkeypatch.setattr(near_duplicates, "BITS", 17)
     got = [tuple(x) for x in near_duplicates.found(frame(spark, records + records[:20])).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 30
 
@@ -76,17 +77,19 @@ def test_signatures_are_complete():
         a, b = np.concatenate([x[:common], x[common : common + split]]), np.concatenate([x[:common], x[common + split :]])
         often = set(x[r.random(len(x)) < (0, 0.3, 1)[trial % 3]].tolist())
         flat = np.concatenate([a, b])
-        rank = np.array([int(v % np.uint64(1000)) + 1 if v in often else 0 for v in flat.tolist()])
+        single = set(np.concatenate([a[common:], b[common:]]).tolist()) if trial % 2 else set()
+        rank = np.array([-1 if v in single else int(v % np.uint64(1000)) + 1 if v in often else 0 for v in flat.tolist()])
         sig, record, bits, size = signatures(flat, np.repeat([0, 1], [len(a), len(b)]), np.array([len(a), len(b)]), rank)
         bits = bits.view(np.uint64)
         left = {(s, int(z)): int(n) for s, z, n in zip(sig[record == 0].tolist(), bits[record == 0], size[record == 0])}
         assert any(t == s and (int(z) ^ y).bit_count() * 3 <= n + m for t, z, m in zip(sig[record == 1].tolist(), bits[record == 1], size[record == 1]) for (s, y), n in left.items() if t == s), (common, extra, split)
 
 
-def test_large_group_of_copies_is_given_by_its_first(spark, monkeypatch):
-    monkeypatch.setattr(near_duplicates, "COPIES", 5)
-    records = [(i, 0, None, None, "a b c d e f g h") for i in range(10)] + [(20, 0, None, None, "a b c d e f g x")]
-    assert {tuple(x) for x in near_duplicates.found(frame(spark, records)).collect()} == {(0, i) for i in range(1, 10)} | {(0, 20)}
+def test_large_group_of_copies(spark):
+    records = [(i, 0, None, None, "a b c d e f g h") for i in range(40)] + [(50, 0, None, None, "a b c d e f g x"), (51, 0, None, None, "p q r s"), (52, 0, None, None, None)]
+    assert {tuple(x) for x in near_duplicates.found(frame(spark, records)).collect()} == {(i, j) for j in range(40) for i in range(j)} | {(i, 50) for i in range(40)}
+    got = {tuple(x) for x in near_duplicates.classes(frame(spark, records + records[:3])).collect()}
+    assert got == {(i, 0, 40, 40) for i in range(40)} | {(50, 50, 1, 40), (51, 51, 1, 0)}
 
 
 def test_near_duplicates_empty(spark):
