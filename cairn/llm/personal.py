@@ -1,35 +1,69 @@
 """Personal information in free text: a linear-chain conditional random field over word shapes.
 
 The model is trained on the driver from a small labelled table (a bounded number of rows, see
-``personal_examples.table``). Tokens are runs of letters, runs of digits and single signs. Their features are the
-words, shapes and affixes of the token and of its neighbours, and the shapes of the pieces between blanks. As every feature
-belongs to one token at one distance, the scores of a token at each distance are summed once for each distinct
-token, and a text is scored by adding rows of tables. Viterbi decodes batches of lines in numpy.
+``personal_examples.table``) and kept in the shared folder, from where later sessions load it. Tokens are runs of letters, runs of
+digits and single signs. Their features are the shapes of the token, of its neighbours and of the pieces between blanks; words
+and affixes count only of the token and the ones right beside it, and only where the table has them more than once, so that whole
+sentences cannot be learnt by heart. As every feature belongs to one token at one distance, the scores of a token at each distance are
+summed once for each distinct token, and a text is scored by adding rows of tables. Viterbi decodes batches of lines in numpy.
 """
 
 from __future__ import annotations
 
+import base64
+import hashlib
+import inspect
+import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from cairn.llm.personal_examples import table
+from cairn.sources.tables import read_text, shared_base, write_text
 
 KINDS = ["name", "email", "phone", "address", "id_number"]
 LABELS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
 TOKEN = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯ])*|\d+|[^\s]")
 CHUNK = re.compile(r"\S+")
-NEAR, FAR = range(-4, 5), range(-2, 3)
+LINE = re.compile(r"[^\n\r]+")
+NEAR, FAR = range(-8, 9), range(-2, 3)
+#: Words that tell what stands near them, by what they tell; their class counts at a distance, where words themselves do not.
+CUES = {
+    "thing": "release releases version versions product products service services project projects build builds codename codenames edition milestone sprint sprints label labels module package packages tool tools brand brands feature features branch branches cluster clusters chapter team group board inc ltd gmbh corp company vendor dienst dienste produkt produkte projekt équipe projet produit equipo proyecto servicio producto",
+    "person": "said says asked asks wrote writes called phoned reported signed approved reviewed drafted owns lives works joined left met hired thinks knows wants contact ask tell thank thanks dear hi hello regards author owner manager engineer customer colleague reporter applicant witness sagt sagte fragt fragte wohnt arbeitet schrieb dit habite travaille écrit dice dijo vive trabaja escribió",
+    "phone": "phone telephone tel call dial ring mobile cell fax hotline pager text voicemail téléphone appeler rappeler teléfono llamar telefon anrufen rückruf handy",
+    "id": "ssn passport license licence id dni nif tax tin social security insurance identity card citizen personalausweis ausweis reisepass führerschein permis passeport pasaporte national",
+}
+CUE = {w: k for k, ws in CUES.items() for w in ws.split()}
+#: Blanks between the lines of a batch, so that no neighbour is seen across.
+GAP = 8
 #: Distinct pieces of text whose scores one worker keeps; then they are made anew (speed only).
 REMEMBERED = 60_000
 #: Tokens decoded in one block of lines.
 BLOCK_TOKENS = 16_000
 
 
+AT = re.compile(r"@|(?:^|[\s\[({<])at(?=$|[\s\])}>])", re.IGNORECASE)
+
+
+def possible(kind: str, text: str) -> bool:
+    """What any mention of its kind has: a check of what was decoded."""
+    numbers = sum(c.isdigit() for c in text)
+    if kind == "email":
+        return bool(AT.search(text)) and ("." in text or "dot" in text.lower())
+    if kind == "phone":
+        return 7 <= numbers <= 15
+    if kind == "id_number":
+        return numbers >= 5
+    if kind == "address":
+        return numbers > 0 and any(len(w) > 2 and w[0].isalpha() for w in text.split())
+    return not numbers and text[:1].isalpha() and any(c.isupper() for c in text)
+
+
 class _Signs(dict):
     def __missing__(self, code: int) -> str:
         c = chr(code)
@@ -50,9 +84,12 @@ def shape(text: str, longest: int) -> str:
 def token_features(token: str, first: bool, distance: int) -> list[str]:
     """Features of a token seen from ``distance`` tokens away; ``first``: a blank or nothing stands before it."""
     low, form = token.lower(), shape(token, 4)
-    out = [f"w{distance}|{low}", f"s{distance}|{form}{int(first)}"]
+    out = [f"k{distance}|{CUE[low]}", f"k{'+' if distance > 0 else '-'}|{CUE[low]}"] if distance and low in CUE else []
+    if abs(distance) > 4:
+        return out
+    out.append(f"s{distance}|{form}{int(first)}")
     if abs(distance) <= 1:
-        out += [f"e{distance}|{low[-3:]}", f"f{distance}|{low[-2:]}|{form[:1]}"]
+        out += [f"w{distance}|{low}", f"e{distance}|{low[-3:]}", f"f{distance}|{low[-2:]}|{form[:1]}"]
     if distance == 0:
         out += [f"p|{low[:3]}", f"n|{len(token)}|{form}", "bias"]
     return out
@@ -61,7 +98,7 @@ def token_features(token: str, first: bool, distance: int) -> list[str]:
 def chunk_features(chunk: str, distance: int) -> list[str]:
     short, low = shape(chunk, 1), chunk.lower()
     out = [f"C{distance}|{short[:24]}", f"L{distance}|{shape(chunk.strip('.,;:()<>'), 8)[:24]}"]
-    if distance:
+    if abs(distance) == 1:
         out.append(f"W{distance}|{low}")
     if "@" in chunk:
         out.append(f"@{distance}|{short.count('@')}{'.' in chunk.partition('@')[2]}{':' in chunk}")
@@ -92,10 +129,10 @@ class Tagger:
         return cls(dict(zip(names, rows)), steps)
 
     def reset(self) -> None:
-        self.chunks: dict[str, tuple[int, list[int], list[int], list[int]]] = {}
         self.tokens: dict[tuple[str, bool], int] = {}
-        self.near = np.zeros((1024, len(NEAR), len(LABELS)), np.float32)  # by token; grows
-        self.far = np.zeros((1024, len(FAR), len(LABELS)), np.float32)  # by piece
+        self.chunks: dict[str, tuple[int, list[int], list[int], list[int]]] = {}
+        self.near = np.zeros((len(NEAR), 1024, len(LABELS)), np.float32)  # by token, of which 0 is a blank; grows
+        self.far = np.zeros((len(FAR), 1024, len(LABELS)), np.float32)  # by piece
 
     def total(self, features: list[str]) -> np.ndarray:
         out = np.zeros(len(LABELS), np.float32)
@@ -111,36 +148,30 @@ class Tagger:
             for m in TOKEN.finditer(text):
                 key = (m.group(), m.start() == 0)
                 if key not in self.tokens:
-                    self.tokens[key] = t = len(self.tokens)
-                    if t == len(self.near):
-                        self.near = np.concatenate([self.near, np.zeros_like(self.near)])
+                    self.tokens[key] = t = len(self.tokens) + 1
+                    if t == self.near.shape[1]:
+                        self.near = np.concatenate([self.near, np.zeros_like(self.near)], axis=1)
                     for k, d in enumerate(NEAR):
-                        self.near[t, k] = self.total(token_features(*key, d))
+                        self.near[k, t] = self.total(token_features(*key, d))
                 numbers.append(self.tokens[key])
                 starts.append(m.start())
                 ends.append(m.end())
-            known = (len(self.chunks), numbers, starts, ends)
+            known = (len(self.chunks) + 1, numbers, starts, ends)
             self.chunks[text] = known
-            if known[0] == len(self.far):
-                self.far = np.concatenate([self.far, np.zeros_like(self.far)])
+            if known[0] == self.far.shape[1]:
+                self.far = np.concatenate([self.far, np.zeros_like(self.far)], axis=1)
             for k, d in enumerate(FAR):
-                self.far[known[0], k] = self.total(chunk_features(text, d))
+                self.far[k, known[0]] = self.total(chunk_features(text, d))
         return known
 
     def emissions(self, numbers: np.ndarray, pieces: np.ndarray, piece_of: np.ndarray) -> np.ndarray:
-        """Scores (tokens x labels) of one line."""
-        near, far = self.near, self.far
-        n = len(numbers)
-        out = np.zeros((n, len(LABELS)), np.float32)
+        """Scores (tokens x labels) of all lines of a batch; GAP blanks stand around each line, in tokens and in pieces."""
+        out = np.zeros((len(numbers), len(LABELS)), np.float32)
         for k, d in enumerate(NEAR):
-            a, b = max(0, -d), min(n, n - d)
-            if a < b:
-                out[a:b] += near[numbers[a + d : b + d], k]
+            out[GAP:-GAP] += self.near[k][numbers[GAP + d : len(numbers) - GAP + d]]
         across = np.zeros((len(pieces), len(LABELS)), np.float32)
         for k, d in enumerate(FAR):
-            a, b = max(0, -d), min(len(pieces), len(pieces) - d)
-            if a < b:
-                across[a:b] += far[pieces[a + d : b + d], k]
+            across[GAP:-GAP] += self.far[k][pieces[GAP + d : len(pieces) - GAP + d]]
         return out + across[piece_of]
 
     def viterbi(self, lines: list[np.ndarray]) -> list[np.ndarray]:
@@ -182,35 +213,49 @@ class Tagger:
         """(start, end, kind) of the mentions in each text, in order; none in null and empty texts."""
         if len(self.chunks) > REMEMBERED:
             self.reset()
-        lines, where = [], []
+        gap = [0] * GAP
+        numbers, pieces, piece_of, where, bounds = list(gap), list(gap), list(gap), [], []
         for i, text in enumerate(texts):
-            for line in re.finditer(r"[^\n\r]+", text or ""):
-                pieces, numbers, starts, ends, piece_of = [], [], [], [], []
-                for k, m in enumerate(CHUNK.finditer(line.group())):
+            for line in LINE.finditer(text or ""):
+                starts, ends, begin = [], [], len(numbers)
+                for m in CHUNK.finditer(line.group()):
                     number, n, s, e = self.chunk(m.group())
                     base = line.start() + m.start()
+                    piece_of += [len(pieces)] * len(n)
                     pieces.append(number)
                     numbers += n
                     starts += [base + x for x in s]
                     ends += [base + x for x in e]
-                    piece_of += [k] * len(n)
-                if numbers:
-                    lines.append((np.array(numbers), np.array(pieces), np.array(piece_of)))
+                if starts:
                     where.append((i, starts, ends))
+                    bounds.append((begin, len(numbers)))
+                    numbers += gap
+                    pieces += gap
+                    piece_of += gap
         out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-        for (i, starts, ends), labels in zip(where, self.viterbi([self.emissions(*x) for x in lines])):
+        if not where:
+            return out
+        scores = self.emissions(np.array(numbers), np.array(pieces), np.array(piece_of))
+        for (i, starts, ends), labels in zip(where, self.viterbi([scores[a:b] for a, b in bounds])):
             for t in np.flatnonzero(labels).tolist():
                 label = LABELS[labels[t]]
                 if label[0] == "B" or not out[i] or out[i][-1][2] != label[2:]:
                     out[i].append((starts[t], ends[t], label[2:]))
                 else:
                     out[i][-1] = (out[i][-1][0], ends[t], label[2:])
-        return out
+        return [[x for x in found if possible(x[2], text[x[0] : x[1]])] if found else found for found, text in zip(out, texts)]
 
 
-def train(examples: list[tuple[str, list[tuple[int, int, str]]]], rounds: int = 8, rate: float = 0.2, seed: int = 3) -> Tagger:
-    """Maximum likelihood by AdaGrad on mini-batches, with forward and backward sums in numpy."""
+def train(examples: list[tuple[str, list[tuple[int, int, str]]]], rounds: int = 9, rate: float = 0.3, seed: int = 3, least: int = 2) -> Tagger:
+    """Maximum likelihood by AdaGrad on mini-batches, with forward and backward sums in numpy. Features seen less than ``least`` times fall out."""
     names: dict[str, int] = {}
+    known: dict[tuple, list[int]] = {}
+
+    def numbers(make, *key) -> list[int]:
+        if (key := (make, *key)) not in known:
+            known[key] = [names.setdefault(f, len(names)) for f in make(*key[1:])]
+        return known[key]
+
     lines = []
     for text, spans in examples:
         chunks = list(CHUNK.finditer(text))
@@ -222,32 +267,46 @@ def train(examples: list[tuple[str, list[tuple[int, int, str]]]], rounds: int =
                 gold[t] = LABELS.index(("B-" if t == inside[0] else "I-") + kind)
         rows = []
         for t, x in enumerate(tokens):
-            found = [f for d in NEAR if 0 <= t + d < len(tokens) for f in token_features(tokens[t + d][0], tokens[t + d][1], d)]
-            found += [f for d in FAR if 0 <= x[4] + d < len(chunks) for f in chunk_features(chunks[x[4] + d].group(), d)]
-            rows.append(np.array([names.setdefault(f, len(names)) for f in found]))
+            found: list[int] = []
+            for d in NEAR:
+                if 0 <= t + d < len(tokens):
+                    found += numbers(token_features, tokens[t + d][0], tokens[t + d][1], d)
+            for d in FAR:
+                if 0 <= x[4] + d < len(chunks):
+                    found += numbers(chunk_features, chunks[x[4] + d].group(), d)
+            rows.append(np.array(found, np.int32))
         lines.append((rows, gold))
+    seen = np.bincount(np.concatenate([r for rows, _ in lines for r in rows]), minlength=len(names))
+    place = np.where(seen >= least, np.cumsum(seen >= least) - 1, -1)
+    names = {f: int(place[i]) for f, i in names.items() if place[i] >= 0}
     k = len(LABELS)
-    w, g2 = np.zeros((len(names), k)), np.full((len(names), k), 1e-6)
+    w, g2 = np.zeros((len(names), k), np.float32), np.full((len(names), k), 1e-6, np.float32)
     s, s2 = np.zeros((k, k)), np.full((k, k), 1e-6)
     hard = allowed().astype(float)
     start = np.array([-1e4 if x[0] == "I" else 0.0 for x in LABELS])
     rng = np.random.default_rng(seed)
     lse = lambda x, axis: (m := x.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - m).sum(axis))
-    for _ in range(rounds):
-        order = rng.permutation(len(lines))
-        for at in range(0, len(order), 32):
-            batch = [lines[i] for i in order[at : at + 32]]
-            longest = max(len(x[1]) for x in batch)
-            lengths = np.array([len(x[1]) for x in batch])
-            flat = [r for rows, _ in batch for r in rows]
+    batches = []
+    mixed = rng.permutation(len(lines))
+    for at in range(0, len(mixed), 512):  # lines of about one length go together
+        near = sorted(mixed[at : at + 512].tolist(), key=lambda i: len(lines[i][1]))
+        for b in range(0, len(near), 32):
+            batch = [lines[i] for i in near[b : b + 32]]
+            flat = [place[r][place[r] >= 0] for rows, _ in batch for r in rows]
             index, counts = np.concatenate(flat), np.array([len(r) for r in flat])
-            heads = np.r_[0, np.cumsum(counts)[:-1]]
-            score = np.add.reduceat(w[index], heads, axis=0)
+            order = np.argsort(index, kind="stable")
+            starts = np.flatnonzero(np.r_[True, np.diff(index[order]) > 0])
+            batches.append((np.array([len(x[1]) for x in batch]), np.concatenate([x[1] for x in batch]), index, np.r_[0, np.cumsum(counts)[:-1]], np.repeat(np.arange(len(counts)), counts)[order], starts, index[order][starts]))
+    mean_w, mean_s, kept = np.zeros_like(w), np.zeros_like(s), 0
+    for turn in range(rounds):
+        for at in rng.permutation(len(batches)):
+            lengths, right, index, heads, owner, starts, used = batches[at]
+            longest, n = lengths.max(), len(lengths)
             mask = np.arange(longest) < lengths[:, None]
-            e = np.zeros((len(batch), longest, k))
-            e[mask] = score
-            gold = np.zeros((len(batch), longest), int)
-            gold[mask] = np.concatenate([x[1] for x in batch])
+            e = np.zeros((n, longest, k))
+            e[mask] = np.add.reduceat(w[index], heads, axis=0)
+            gold = np.zeros((n, longest), int)
+            gold[mask] = right
             move = s + hard
             alpha, beta = np.zeros_like(e), np.zeros_like(e)
             alpha[:, 0] = e[:, 0] + start
@@ -258,34 +317,51 @@ def train(examples: list[tuple[str, list[tuple[int, int, str]]]], rounds: int =
                 now = lse(move + (e[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
                 beta[:, t] = np.where(mask[:, t + 1, None], now, 0)
             z = lse(alpha[:, -1], 1)
-            each = np.exp(alpha + beta - z[:, None, None])
-            delta = each[mask]
-            delta[np.arange(len(delta)), gold[mask]] -= 1
+            delta = np.exp(alpha + beta - z[:, None, None])[mask]
+            delta[np.arange(len(delta)), right] -= 1
+            live = mask[:, 1:]
+            after = (e + beta)[:, 1:]
             grad_s = np.zeros((k, k))
-            for t in range(1, longest):
-                live = mask[:, t]
-                pair = alpha[live, t - 1, :, None] + move + (e[live, t] + beta[live, t])[:, None, :] - z[live, None, None]
-                grad_s += np.exp(pair).sum(0)
-                np.add.at(grad_s, (gold[live, t - 1], gold[live, t]), -1)
-            spread = np.repeat(delta, counts, axis=0)
-            used, place = np.unique(index, return_inverse=True)
-            grad = np.stack([np.bincount(place, spread[:, j], len(used)) for j in range(k)], 1) / len(batch) + 1e-4 * w[used]
+            for t in range(longest - 1):
+                grad_s += np.exp(alpha[:, t, :, None] + move + after[:, t, None, :] - z[:, None, None])[live[:, t]].sum(0)
+            np.add.at(grad_s, (gold[:, :-1][live], gold[:, 1:][live]), -1)
+            grad = np.add.reduceat(delta.astype(np.float32)[owner], starts, axis=0) / n + 1e-4 * w[used]
             g2[used] += grad * grad
             w[used] -= rate * grad / np.sqrt(g2[used])
-            grad_s /= len(batch)
+            grad_s /= n
             s2 += grad_s * grad_s
             s -= rate * grad_s / np.sqrt(s2)
-    return Tagger({f: w[i].astype(np.float32) for f, i in names.items() if np.abs(w[i]).max() > 0.02}, s + hard)
+        if turn >= 2:  # the mean over rounds generalises better than the last one
+            mean_w, mean_s, kept = mean_w + w, mean_s + s, kept + 1
+    mean_w, mean_s = mean_w / max(1, kept), mean_s / max(1, kept)
+    return Tagger({f: mean_w[i].astype(np.float32) for f, i in names.items() if np.abs(mean_w[i]).max() > 0.02}, mean_s + hard)
+
+
+_MODEL: dict[str, Tagger] = {}
 
 
-_MODEL: list[Tagger] = []
+def sources() -> str:
+    """The code and table that a model comes from."""
+    return "\0".join(inspect.getsource(inspect.getmodule(f)) for f in (train, table))
 
 
-def model() -> Tagger:
-    """The model trained from the labelled table, once for each process."""
-    if not _MODEL:
-        _MODEL.append(train(table()))
-    return _MODEL[0]
+def model(spark: SparkSession | None = None) -> Tagger:
+    """The model trained from the labelled table. With a session it is kept in the shared folder, under a hash of the code and
+    table it came from, and read from there by later sessions; in one process it is made or read once."""
+    key = hashlib.sha256(sources().encode()).hexdigest()[:16]
+    if key not in _MODEL:
+        path = f"{shared_base(spark)}/cairn-models/personal-{key}.json" if spark else None
+        text = read_text(spark, path) if path else None
+        if text is None:
+            _MODEL[key] = train(table())
+            if path:
+                names, rows, steps = _MODEL[key].packed()
+                write_text(spark, path, json.dumps({"names": names, "rows": base64.b64encode(rows.tobytes()).decode(), "steps": base64.b64encode(steps.tobytes()).decode()}))
+        else:
+            kept, k = json.loads(text), len(LABELS)
+            rows, steps = (np.frombuffer(base64.b64decode(kept[x]), np.float32).reshape(-1, k) for x in ("rows", "steps"))
+            _MODEL[key] = Tagger.unpacked(kept["names"], rows, steps)
+    return _MODEL[key]
 
 
 def found(records: DataFrame, id_col: str = "mem_id", fields: tuple[str, ...] = ("body", "description"), tagger: Tagger | None = None) -> DataFrame:
@@ -293,7 +369,7 @@ def found(records: DataFrame, id_col: str = "mem_id", fields: tuple[str, ...] =
 
     Null, empty and blank fields have none. Rows with a null id are left out.
     """
-    trained = tagger or model()
+    trained = tagger or model(records.sparkSession)
     sent = records.sparkSession.sparkContext.broadcast(trained.packed())
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -313,7 +389,7 @@ def found(records: DataFrame, id_col: str = "mem_id", fields: tuple[str, ...] =
 
 def redact(records: DataFrame, id_col: str = "mem_id", fields: tuple[str, ...] = ("body", "description"), tagger: Tagger | None = None) -> DataFrame:
     """(id, fields) with each mention replaced by its kind in brackets, as [EMAIL], and the rest unchanged; null stays null."""
-    trained = tagger or model()
+    trained = tagger or model(records.sparkSession)
     sent = records.sparkSession.sparkContext.broadcast(trained.packed())
 
     def clean(text: str | None, spans: list[tuple[int, int, str]]) -> str | None:
