@@ -11,49 +11,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.operators.timeline import next_at
-from cairn.sources.tables import epoch_us
+from cairn.operators.timeline import hashed, next_at, time_cuts
+from cairn.sources.tables import epoch_us, materialize
 
-WEEK = 7 * 86_400
 BLANKS = " \t\r\n"
 CLOSED = ["formerly", "historical", "past"]
+KEYS = ["slug", "file", "attr"]
+LIVE = (1 << 63) - 1
 
 
-def change_events(states: DataFrame, keys: list[str], at: str, step: str, state: str) -> DataFrame:
-    """Events (keys, at, kind, state) between consecutive states.
+def change_events(states: DataFrame, more: list[str]) -> DataFrame:
+    """Events (k1, k2, at, kind, more) between consecutive states (k1, k2, at, step, state, more).
 
-    ``step`` is the time of the key's next observation, null after the last one. A key absent
-    at that time was deleted then; a key that has no earlier observation was inserted.
+    ``step`` is the time of the key's next observation, null after the last one. A key absent at that time was deleted then;
+    a key that has no earlier observation was inserted. ``state`` is compared null-safe. A deletion has no ``more``.
     """
-    left = states.select(*[F.col(k).alias(f"l_{k}") for k in keys], F.col(step).alias("l_step"), F.col(state).alias("l_state"), F.lit(True).alias("l_in"))
-    right = states.select(*[F.col(k).alias(f"r_{k}") for k in keys], F.col(at).alias("r_at"), F.col(state).alias("r_state"), F.lit(True).alias("r_in"))
-    on = [F.col(f"l_{k}").eqNullSafe(F.col(f"r_{k}")) for k in keys] + [F.col("l_step") == F.col("r_at")]
-    both = left.join(right, on, "full_outer")
-    kind = (
-        F.when(F.col("l_in").isNull(), F.lit("inserted"))
-        .when(F.col("r_in").isNull(), F.when(F.col("l_step").isNotNull(), F.lit("deleted")))
-        .when(~F.col("l_state").eqNullSafe(F.col("r_state")), F.lit("changed"))
-    )
-    return both.withColumn("kind", kind).where(F.col("kind").isNotNull()).select(
-        *[F.when(F.col("kind") == "deleted", F.col(f"l_{k}")).otherwise(F.col(f"r_{k}")).alias(k) for k in keys],
-        F.when(F.col("kind") == "deleted", F.col("l_step")).otherwise(F.col("r_at")).alias("at"),
-        "kind",
-        F.when(F.col("kind") != "deleted", F.col("r_state")).alias("state"),
-    )
+    left = states.where("step is not null").select(F.col("k1").alias("l1"), F.col("k2").alias("l2"), "step", F.col("state").alias("l_state"), F.lit(True).alias("l_in"))
+    right = states.select("k1", "k2", "at", "state", F.lit(True).alias("r_in"), *more)
+    on = F.col("l1").eqNullSafe(F.col("k1")) & F.col("l2").eqNullSafe(F.col("k2")) & (F.col("step") == F.col("at"))
+    kind = F.when(F.col("l_in").isNull(), "inserted").when(F.col("r_in").isNull(), "deleted").when(~F.col("l_state").eqNullSafe(F.col("state")), "changed")
+    both = left.join(right, on, "full_outer").withColumn("kind", kind).where(F.col("kind").isNotNull())
+    return both.select(F.coalesce("k1", "l1").alias("k1"), F.coalesce("k2", "l2").alias("k2"), F.coalesce("at", "step").alias("at"), "kind", *more)
 
 
-def versions(events: DataFrame, keys: list[str], width: int = WEEK) -> DataFrame:
-    """Periods (keys, state, valid_from, valid_to) out of change events; valid_to is -1 while open."""
-    spans = next_at(events, keys, "at", "valid_to", width)
-    return spans.where(F.col("kind") != "deleted").select(*keys, "state", F.col("at").alias("valid_from"), F.coalesce("valid_to", F.lit(-1).cast("long")).alias("valid_to"))
+def versions(states: DataFrame, cuts: list[float], more: list[str]) -> DataFrame:
+    """Periods (k1, k2, more, valid_from, valid_to) out of the change events of states; valid_to is -1 while open."""
+    spans = next_at(change_events(materialize(states, "states"), more), ["k1", "k2"], "at", "valid_to", cuts)
+    return spans.where(F.col("kind") != "deleted").select("k1", "k2", *more, F.col("at").alias("valid_from"), F.coalesce("valid_to", F.lit(-1).cast("long")).alias("valid_to"))
 
 
 def _norm(c: str) -> Column:
     return F.lower(F.btrim(F.col(c), F.lit(BLANKS)))
 
 
-def triple_states(triples: DataFrame) -> DataFrame:
-    """State of each (slug, file, subject|relation) at each source_mtime.
+def triple_states(triples: DataFrame, cuts: list[float]) -> DataFrame:
+    """State and next instant (step) of each (slug, file, subject|relation) at each source_mtime.
 
     The greatest update_id of an instant holds. Rows with a null object or source_mtime do not
     count; a null subject or relation reads as empty. Repeated rows change nothing.
@@ -62,37 +54,38 @@ def triple_states(triples: DataFrame) -> DataFrame:
     attr = F.concat(F.coalesce(_norm("subject"), F.lit("")), F.lit("|"), F.coalesce(relation, F.lit("")))
     closed = F.coalesce(_norm("temporal"), F.lit("")).isin(CLOSED)
     rows = triples.where(F.col("object").isNotNull() & F.col("source_mtime").isNotNull()).select(
-        "slug", "file", attr.alias("attr"), F.col("source_mtime").alias("at"), "update_id", F.concat(F.when(closed, F.lit("closed|")).otherwise(F.lit("open|")), _norm("object")).alias("state")
+        "slug", "file", attr.alias("attr"), F.col("source_mtime").alias("at"), "update_id", F.xxhash64(closed, _norm("object")).alias("state")
     )
-    return rows.groupBy("slug", "file", "attr", "at").agg(F.max(F.struct("update_id", "state"))["state"].alias("state"))
+    return next_at(hashed(rows, KEYS), ["k1", "k2"], "at", "step", cuts, then=["update_id", "state"]).drop("update_id")
 
 
-def fact_states(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """States (slug, file, attr, at, state) of facts in their snapshots, and the snapshots (slug, file, at) that count.
+def fact_states(facts: DataFrame, cuts: list[float]) -> DataFrame:
+    """State and next snapshot that counts (step) of each fact (slug, file, text) in each snapshot.
 
     A live row wins over closed ones of its snapshot; of several closed ones the latest instant.
     A valid_until that is no time counts as closed, told apart by its text. Null texts are no facts.
     """
     zoned = F.when(F.col("valid_until").rlike(r"(Z|[+-]\d\d:?\d\d)$"), F.col("valid_until")).otherwise(F.concat("valid_until", F.lit("Z")))
-    instant = F.unix_micros(zoned.try_cast("timestamp")).cast("string")
-    state = F.when(F.col("valid_until").isNull(), F.lit("~live")).otherwise(F.coalesce(instant, F.concat(F.lit("!"), F.col("valid_until"))))
+    instant = F.unix_micros(zoned.try_cast("timestamp"))
+    # an instant is a number of microseconds far above the numbers that stand for other texts
+    state = F.when(F.col("valid_until").isNull(), F.lit(LIVE)).otherwise(F.coalesce(instant, F.shiftrightunsigned(F.xxhash64("valid_until"), 2) - F.lit(LIVE)))
     rows = facts.select("slug", "file", F.col("text").alias("attr"), F.floor(epoch_us("snapshot_at") / 1_000_000).alias("at"), state.alias("state")).where(F.col("at").isNotNull())
-    # "~live" sorts after every digit, so max() prefers it; epochs have equal length from 2001 to 2286
-    return rows.where(F.col("attr").isNotNull()).groupBy("slug", "file", "attr", "at").agg(F.max("state").alias("state")), rows.select("slug", "file", "at").distinct()
+    rows = hashed(hashed(rows, KEYS), ["slug", "file"], ("f1", "f2"))
+    seen = next_at(rows.select("f1", "f2", "at").distinct(), ["f1", "f2"], "at", "step", cuts)
+    held = rows.where(F.col("attr").isNotNull()).groupBy("k1", "k2", "at").agg(F.max("state").alias("state"), F.first("f1").alias("f1"), F.first("f2").alias("f2"))
+    return held.join(seen, ["f1", "f2", "at"]).select("k1", "k2", "at", "step", "state")
 
 
 def attribute_history(triples: DataFrame, facts: DataFrame) -> DataFrame:
-    """Every version of triple attributes and of facts: src, slug, file, attr, state, valid_from, valid_to."""
-    keys = ["slug", "file", "attr"]
-    t = triple_states(triples)
-    t = versions(change_events(next_at(t, keys, "at", "step", WEEK), keys, "at", "step", "state"), keys)
-    states, seen = fact_states(facts)
-    steps = next_at(seen, ["slug", "file"], "at", "step", WEEK)
-    steps = steps.select(F.col("slug").alias("s_slug"), F.col("file").alias("s_file"), F.col("at").alias("s_at"), "step")
-    on = F.col("slug").eqNullSafe(F.col("s_slug")) & F.col("file").eqNullSafe(F.col("s_file")) & (F.col("at") == F.col("s_at"))
-    f = states.join(steps, on).select(*keys, "at", "step", "state")
-    f = versions(change_events(f, keys, "at", "step", "state"), keys)
-    return t.select(F.lit("triple").alias("src"), *t.columns).unionByName(f.select(F.lit("fact").alias("src"), *f.columns))
+    """Every version of triple attributes and of facts: src, slug, file, attr, valid_from, valid_to."""
+    cuts = time_cuts(triples, "source_mtime")
+    t = versions(triple_states(triples, cuts).select("k1", "k2", "at", "step", "state", *KEYS), cuts, KEYS)
+    cuts = time_cuts(facts.select(F.floor(epoch_us("snapshot_at") / 1_000_000).alias("at")), "at")
+    f = versions(fact_states(facts, cuts), cuts, [])
+    names = hashed(facts.where("text is not null").select("slug", "file", F.col("text").alias("attr")).distinct(), KEYS)
+    f = f.join(names, ["k1", "k2"])
+    out = ["valid_from", "valid_to"]
+    return t.select(F.lit("triple").alias("src"), *KEYS, *out).unionByName(f.select(F.lit("fact").alias("src"), *KEYS, *out))
 
 
 def found(triples: DataFrame, facts: DataFrame) -> DataFrame:

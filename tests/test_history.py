@@ -1,6 +1,8 @@
 from datetime import datetime, timedelta
 
-from cairn.operators import history
+import pytest
+
+from cairn.operators import history, timeline
 
 T = "update_id long, slug string, file string, subject string, relation string, object string, confidence double, temporal string, source_mtime long, arrived_at timestamp_ntz, at long, state string, step long"
 L = "snapshot_no int, snapshot_at timestamp_ntz, slug string, file string, text string, subject string, object string, legacy_name string, valid_until string, loaded_at timestamp_ntz"
@@ -25,7 +27,9 @@ def test_triples(spark):
     assert got == {("triple", "s", "f.md", "a|runs_on", 10, 30), ("triple", "s", "f.md", "a|runs_on", 30, 40_000_000), ("triple", "s", "f.md", "a|runs_on", 40_000_000, -1)}
 
 
-def test_facts(spark):
+@pytest.mark.parametrize("between", [2, 10**9])
+def test_facts(spark, monkeypatch, between):
+    monkeypatch.setattr(timeline, "BETWEEN", between)
     def row(n, text, until=None, file="f"):
         return (n, D[n], "s", file, text, None, None, None, until, None)
 
@@ -47,7 +51,9 @@ def test_empty(spark):
     assert found(spark, [], []) == []
 
 
-def test_many_updates_of_one_key_cross_buckets(spark):
+@pytest.mark.parametrize("between", [7, 10**9])
+def test_many_updates_of_one_key_cross_buckets(spark, monkeypatch, between):
+    monkeypatch.setattr(timeline, "BETWEEN", between)
     rows = [triple(i, "uses", f"o{i // 3}", i * 200_000) for i in range(60)]
     got = found(spark, rows, [])
     assert len(got) == 20 and [g[4] for g in got] == [i * 600_000 for i in range(20)] and got[-1][5] == -1
