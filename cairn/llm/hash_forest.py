@@ -18,6 +18,7 @@ their sorted blocks and takes the repeats out, as blocks of their own labels tha
 
 from __future__ import annotations
 
+import gc
 import json
 import uuid
 from collections.abc import Callable, Iterator
@@ -450,5 +451,6 @@ def found(records: DataFrame, id_col: str = "mem_id", batch_col: str = "batch_no
     forest.stage(word_sets(batched, id_col, title, body, words, more={"batch": "_batch"}), batches)
     for _ in batches:
         forest.ingest()
+        gc.collect()  # lets go of the plans of a batch, which the driver would keep as long as Python names them
     forest.close()
     return forest.repeats()
