@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.functions.text import STOPWORDS
+
 
 def keywords(file: Column, name: Column, description: Column) -> Column:
     """Up to 16 lower-case terms of at least 4 letters: parts of the file's stem, then words of name and description, in order."""
     stem = F.split(F.regexp_replace(file, r"\.md$", ""), "[_-]")
     words = lambda c: F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("[A-Za-z][A-Za-z0-9_.-]{4,}"), F.lit(0))
     every = F.transform(F.concat(stem, words(name), words(description)), lambda x: F.lower(x))
-    return F.slice(F.array_distinct(F.filter(every, lambda x: F.length(x) >= 4)), 1, 16)
+    return F.slice(F.array_distinct(F.filter(every, lambda x: (F.length(x) >= 4) & ~x.isin(STOPWORDS))), 1, 16)
 
 
 def session_tokens(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z][a-z0-9_.-]{3,}"), F.lit(0)))
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z][a-z0-9_.-]{3,}"), F.lit(0))
+    return F.array_except(F.array_distinct(found), F.array(*[F.lit(w) for w in STOPWORDS]))
 
 
 def distinctive_frequency(memories: DataFrame, sessions: DataFrame, share: float = 0.10) -> DataFrame:

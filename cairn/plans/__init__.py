@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-CORE = ["cairn.plans.pipeline", "cairn.plans.recall", "cairn.plans.curation", "cairn.plans.graph"]
+CORE = ["cairn.plans.pipeline", "cairn.plans.recall", "cairn.plans.curation", "cairn.plans.graph", "cairn.plans.maintenance"]
 
 
 def registry(more: tuple[str, ...] = ()) -> tuple[dict, dict]:

@@ -35,13 +35,16 @@ def secret_lines(s, d):
 
 
 def fact_classes(s, d):
-    out = None
-    for name, pattern in text.FACTS:
-        found = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(text.ascii_border(pattern)), F.lit(0))))
-        part = _doc(s, d).select("doc_id", F.lit(name).alias("class"), found.alias("token"))
-        out = part if out is None else out.unionByName(part)
-    clean = F.regexp_replace("token", r"[.,;:)]+$", "")
-    return out.select("doc_id", "class", clean.alias("token")).where(F.length("token") >= 3).groupBy("doc_id", "class", "token").agg(F.count("*").alias("n"))
+    """Hard facts by class, in lower case and once for each document; those whose line looks like a secret fall out."""
+    lines = _doc(s, d).select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(~F.col("line").rlike(text.SECRET))
+
+    def tokens(name, pattern):
+        where, before = (F.concat(F.lit(" "), "line"), r"(?<![A-Za-z0-9_.])") if pattern.startswith(":") else (F.col("line"), "")
+        return F.transform(F.regexp_extract_all(where, F.lit(before + text.ascii_border(pattern)), F.lit(0)), lambda x: F.struct(F.lit(name).alias("class"), x.alias("token")))
+
+    found = [tokens(name, pattern) for name, pattern in text.FACTS]
+    out = lines.select("doc_id", F.explode(F.concat(*found)).alias("f")).select("doc_id", "f.class", F.lower(F.regexp_replace(F.btrim("f.token"), r"[.,;:)]+$", "")).alias("token"))
+    return out.where((F.length("token") >= 3) & ~F.col("token").isin(text.FACT_STOP)).groupBy("doc_id", "class", "token").agg(F.count("*").alias("n"))
 
 
 def denied(s, d):
@@ -117,14 +120,15 @@ def _q(x: str) -> str:
 
 def oracle_sql() -> dict:
     secret = _q(text.SECRET.replace(r"\x22", '"'))
-    facts = " UNION ALL ".join(f"SELECT DISTINCT doc_id, '{n}' AS class, unnest(regexp_extract_all(text, {_q(p)})) AS t FROM documents" for n, p in text.FACTS)
+    # no look-behind here: a sign or none in front, as a group of its own
+    facts = " UNION ALL ".join(f"SELECT doc_id, '{n}' AS class, unnest(regexp_extract_all({_q(' ') + ' || line' if p[0] == ':' else 'line'}, {_q('[^A-Za-z0-9_.](' + p + ')' if p[0] == ':' else '(' + p + ')')}, 1)) AS t FROM ln" for n, p in text.FACTS)
     tags = " ".join(f"WHEN regexp_matches(x, {_q(p)}) THEN '{n}'" for n, p in text.DENIED)
     body = r"array_to_string(list_filter(list_transform(string_split(replace(regexp_replace(coalesce(body, ''), '\A---\n(?s:.*?)\n---\n', ''), E'\r', ''), E'\n'), lambda x: rtrim(x)), lambda x: x <> '' AND NOT starts_with(x, '> provenance:')), E'\n')"
     drift = "SELECT coalesce(m.slug, p.slug) AS slug, coalesce(m.file, p.file) AS file, CASE WHEN made IS NULL THEN 'missing' WHEN came IS NULL THEN 'orphan' WHEN made < came THEN 'stale' ELSE 'current' END AS state FROM (SELECT slug, file, max(synced_at) AS came FROM memories GROUP BY ALL) m FULL JOIN (SELECT slug, file, max(updated_at) AS made FROM index_points GROUP BY ALL) p ON m.slug = p.slug AND m.file = p.file"
     return {
         "secret_scan": f"SELECT doc_id, len(regexp_extract_all(text, {secret})) AS n, sha1(regexp_replace(text, {secret}, '{text.MASK}', 'g')) AS redacted FROM documents WHERE regexp_matches(text, {secret})",
         "secret_lines": f"SELECT doc_id, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS lines FROM (SELECT doc_id, unnest(string_split(text, E'\\n')) AS line, generate_subscripts(string_split(text, E'\\n'), 1) AS i FROM documents) WHERE regexp_matches(line, {secret}) GROUP BY doc_id",
-        "fact_classes": f"SELECT doc_id, class, regexp_replace(t, '[.,;:)]+$', '') AS token, count(*) AS n FROM ({facts}) WHERE length(regexp_replace(t, '[.,;:)]+$', '')) >= 3 GROUP BY ALL",
+        "fact_classes": f"WITH ln AS (SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, E'\\n')) AS line FROM documents) WHERE NOT regexp_matches(line, {secret})), tk AS (SELECT doc_id, class, lower(regexp_replace(trim(t), '[.,;:)]+$', '')) AS token FROM ({facts})) SELECT doc_id, class, token, count(*) AS n FROM tk WHERE length(token) >= 3 AND token NOT IN ('0.0', '1.0', '2.0', '3.0') GROUP BY ALL",
         "injection_denylist": f"SELECT mem_id, tag FROM (SELECT mem_id, CASE {tags} END AS tag FROM (SELECT mem_id, {_ALL} AS x FROM memories)) WHERE tag IS NOT NULL",
         "transient_filter": f"SELECT mem_id FROM memories WHERE regexp_matches(coalesce(name, '') || ' ' || coalesce(description, ''), {_q(text.TRANSIENT)})",
         "dup_text_exact": _repeat("documents", "text", "doc_id"),

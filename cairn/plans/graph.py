@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cairn.functions import text
 from cairn.operators import curate, graph, score
 from cairn.sources import table
 from cairn.sources.tables import epoch_us, materialize
@@ -36,10 +37,16 @@ def _fixation(s, d):
     came = table(s, d, "memories").groupBy("slug", "file").agg((F.count("*") - 1).alias("survival"))
     rows = _store(s, d).join(came, ["slug", "file"]).join(freq, "mem_id")
     age = F.when(F.col("source_mtime").isNull(), F.lit(0.0)).otherwise((F.lit(NOW) - F.col("source_mtime")) / 86_400.0)
-    rows = rows.select("mem_id", age.alias("age_days"), "freq", "survival", F.lit(False).alias("suspicion"))
+    rows = rows.select("mem_id", age.alias("age_days"), "freq", "survival", _suspicion(age).alias("suspicion"))
     return score.fixation(rows, score.nearest_rank(freq, "freq", 90, 40.0)).select("mem_id", "freq", "survival", "confidence", "status", "review_days")
 
 
+def _suspicion(age):
+    """A young text that nothing bears out and that wants to stay; one that a graduation let in is exempt."""
+    wants = text.matches("body", text.PERSIST) & ~F.lower(F.coalesce("body", F.lit(""))).contains("auto-graduated")
+    return wants & (F.col("survival") == 0) & (F.col("freq") <= 1) & (age <= 7)
+
+
 def _merge_points(s, d):
     """Upsert: of several points of a (slug, file), the last by updated_at, then point_id."""
     return table(s, d, "index_points").groupBy("slug", "file").agg(F.max_by(F.struct("point_id", "sha", "space"), F.struct(epoch_us("updated_at").alias("t"), "point_id")).alias("r")).select("slug", "file", "r.point_id", "r.sha", "r.space")
@@ -106,14 +113,15 @@ h1 AS (SELECT *, row_number() OVER (PARTITION BY hit_id ORDER BY slug, file) AS
 hits AS (SELECT slug, file, count(*) AS hits, count(DISTINCT query_id) AS queries, round(max(score), 6) AS best FROM h1 WHERE rn = 1 GROUP BY ALL),
 hf AS (SELECT slug, file, count(DISTINCT fact) AS facts FROM (SELECT slug, file, unnest(facts) AS fact FROM h1 WHERE rn = 1) GROUP BY ALL)"""
 _FREQ = r"""kw AS (SELECT mem_id, unnest(list_slice(w, 1, 16)) AS term FROM (SELECT mem_id, list_filter(list_transform(
-   list_concat(list_concat(regexp_split_to_array(regexp_replace(file, '\.md$', ''), '[_-]'), regexp_extract_all(coalesce(name, ''), '[A-Za-z][A-Za-z0-9_.-]{4,}')), regexp_extract_all(coalesce(description, ''), '[A-Za-z][A-Za-z0-9_.-]{4,}')), lambda x: lower(x)), lambda x: length(x) >= 4) AS w0,
+   list_concat(list_concat(regexp_split_to_array(regexp_replace(file, '\.md$', ''), '[_-]'), regexp_extract_all(coalesce(name, ''), '[A-Za-z][A-Za-z0-9_.-]{4,}')), regexp_extract_all(coalesce(description, ''), '[A-Za-z][A-Za-z0-9_.-]{4,}')), lambda x: lower(x)), lambda x: length(x) >= 4 AND NOT list_contains({stop}, x)) AS w0,
    list_filter(w0, lambda x, i: list_position(w0, x) = i) AS w FROM memories)),
 ses AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z][a-z0-9_.-]{3,}'))) AS term FROM documents),
-dfq AS (SELECT term, count(*) AS df FROM ses GROUP BY term HAVING count(*) <= greatest(1, floor(0.1 * (SELECT count(*) FROM documents)))),
-freq AS (SELECT m.mem_id, coalesce(max(df), 0) AS freq FROM memories m LEFT JOIN kw USING (mem_id) LEFT JOIN dfq USING (term) GROUP BY m.mem_id)"""
+dfq AS (SELECT term, count(*) AS df FROM ses WHERE NOT list_contains({stop}, term) GROUP BY term HAVING count(*) <= greatest(1, floor(0.1 * (SELECT count(*) FROM documents)))),
+freq AS (SELECT m.mem_id, coalesce(max(df), 0) AS freq FROM memories m LEFT JOIN kw USING (mem_id) LEFT JOIN dfq USING (term) GROUP BY m.mem_id)""".replace("{stop}", str(text.STOPWORDS))
 
 
 def oracle_sql() -> dict:
+    from cairn.plans import curation
     from cairn.plans.curation import _LATEST
 
     return {
@@ -136,9 +144,9 @@ SELECT slug, file, salience, salience >= (SELECT min(salience) FROM (SELECT sali
         "distinct_frequency": f"WITH {_FREQ} SELECT * FROM freq",
         "fixation_scores": f"""WITH {_FREQ}, {_LATEST}, nz AS (SELECT freq, row_number() OVER (ORDER BY freq) - 1 AS i, count(*) OVER () AS n FROM freq WHERE freq > 0),
 nrm AS (SELECT greatest(40.0, coalesce(max(freq), 0)) AS f FROM nz WHERE i = least(n - 1, round_even(0.9 * (n - 1), 0))),
-a AS (SELECT mem_id, freq, (SELECT count(*) - 1 FROM memories m WHERE m.slug = latest.slug AND m.file = latest.file) AS survival, CASE WHEN source_mtime IS NULL THEN 0.0 ELSE ({NOW} - source_mtime) / 86400.0 END AS age FROM latest JOIN freq USING (mem_id)),
+a AS (SELECT mem_id, freq, (SELECT count(*) - 1 FROM memories m WHERE m.slug = latest.slug AND m.file = latest.file) AS survival, CASE WHEN source_mtime IS NULL THEN 0.0 ELSE ({NOW} - source_mtime) / 86400.0 END AS age, body FROM latest JOIN freq USING (mem_id)),
 b AS (SELECT *, round(0.35 * least(1.0, ln(1 + greatest(age, 0.0)) / ln(366.0)) + 0.40 * least(1.0, ln(1 + freq) / ln(1 + f)) + 0.25 * least(1.0, survival / 5.0), 9) AS conf FROM a, nrm)
-SELECT mem_id, freq, survival, round(conf, 6) AS confidence, CASE WHEN conf >= 0.66 AND survival >= 3 THEN 'fixed' WHEN conf >= 0.33 AND (survival >= 1 OR age >= 7) THEN 'corroborated' ELSE 'provisional' END AS status,
+SELECT mem_id, freq, survival, round(conf, 6) AS confidence, CASE WHEN regexp_matches(coalesce(body, ''), {curation._q(text.PERSIST)}) AND NOT contains(lower(coalesce(body, '')), 'auto-graduated') AND survival = 0 AND freq <= 1 AND age <= 7 THEN 'suspect' WHEN conf >= 0.66 AND survival >= 3 THEN 'fixed' WHEN conf >= 0.33 AND (survival >= 1 OR age >= 7) THEN 'corroborated' ELSE 'provisional' END AS status,
 CAST(greatest(1, least(180, round_even(7 * (1 + survival) * (0.5 + conf), 0))) AS BIGINT) AS review_days FROM b""",
         "merge_points": "SELECT slug, file, point_id, sha, space FROM (SELECT *, row_number() OVER (PARTITION BY slug, file ORDER BY updated_at DESC, point_id DESC) AS rn FROM index_points) WHERE rn = 1",
         "snapshot_actions": """WITH l AS (SELECT max(snapshot_no) AS n FROM legacy_facts), x AS (SELECT slug, file, text, bool_or(valid_until IS NULL) AS was FROM legacy_facts, l WHERE snapshot_no = n - 1 GROUP BY ALL), y AS (SELECT slug, file, text, bool_or(valid_until IS NULL) AS now FROM legacy_facts, l WHERE snapshot_no = n GROUP BY ALL),
