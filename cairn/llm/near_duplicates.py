@@ -151,10 +151,11 @@ def candidates(sets: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(arrays, ["sig", "id", "bits", "n", "total"])
 
     signed = sets.select("id", "runs").mapInArrow(run, "sig long, id long, bits long, n int, total int")
-    other = signed.select("sig", *[F.col(c).alias(c + "2") for c in ("id", "bits", "n", "total")])
-    near = (F.col("id") < F.col("id2")) & (F.col("total") <= 2 * F.col("total2")) & (F.col("total2") <= 2 * F.col("total"))
-    near &= F.bit_count(F.col("bits").bitwiseXOR(F.col("bits2"))) * 3 <= F.col("n") + F.col("n2")
-    return signed.join(other, "sig").where(near).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+    # both sides are the same projection, so that they are made and shuffled once
+    side = lambda k: signed.select("sig", *[F.col(c).alias(f"{c}{k}") for c in ("id", "bits", "n", "total")])
+    near = (F.col("id1") < F.col("id2")) & (F.col("total1") <= 2 * F.col("total2")) & (F.col("total2") <= 2 * F.col("total1"))
+    near &= F.bit_count(F.col("bits1").bitwiseXOR(F.col("bits2"))) * 3 <= F.col("n1") + F.col("n2")
+    return side(1).join(side(2), "sig").where(near).select(F.col("id1").alias("a"), F.col("id2").alias("b")).distinct()
 
 
 def links(records: DataFrame, id_col: str = "mem_id", title: str = "description", body: str = "body", words: int = 3, threshold: float = 0.5) -> tuple[DataFrame, DataFrame]:

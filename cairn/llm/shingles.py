@@ -21,7 +21,8 @@ def word_sets(records: DataFrame, id_col: str, title: str, body: str, words: int
         F.col(id_col).cast("long").alias("id"), F.concat(F.coalesce(F.col(title), F.lit("")), F.lit(" "), F.col(body)).alias("text"), *[F.col(c).alias(n) for n, c in kept.items()]
     )
     w = text.select("id", F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)).alias("w"), *kept).where(F.size("w") >= words)
-    hashed = F.transform(F.sequence(F.lit(1), F.size("w") - (words - 1)), lambda i: F.xxhash64(F.slice("w", i, words)))
+    # the planner may look at the runs before it drops texts without one, so short texts must not fail here
+    hashed = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (words - 1), F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, words)))
     out = w.select("id", F.array_sort(F.array_distinct(hashed)).alias("runs"), *kept)
     return out.select("id", "runs", F.xxhash64(F.lit(1), "runs").alias("k1"), F.xxhash64(F.lit(2), "runs").alias("k2"), *kept)
 
