@@ -451,6 +451,8 @@ def found(records: DataFrame, id_col: str = "mem_id", batch_col: str = "batch_no
     forest.stage(word_sets(batched, id_col, title, body, words, more={"batch": "_batch"}), batches)
     for _ in batches:
         forest.ingest()
-        gc.collect()  # lets go of the plans of a batch, which the driver would keep as long as Python names them
+        # the driver lets go of a batch's plans, broadcast blocks and generated classes, which otherwise pile up from batch to batch
+        gc.collect()
+        records.sparkSession._jvm.System.gc()
     forest.close()
     return forest.repeats()
