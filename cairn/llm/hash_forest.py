@@ -22,6 +22,7 @@ import gc
 import json
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cairn.llm import shingles
 from cairn.llm.near_duplicates import mix
 from cairn.llm.shingles import verified, word_sets
 from cairn.sources.tables import delete, materialize, read_text, shared_dir, write_text
@@ -156,8 +158,8 @@ def ranges(keys: np.ndarray, asked: np.ndarray, depth: int) -> tuple[np.ndarray,
     return np.searchsorted(keys, asked & ~low, "left"), np.searchsorted(keys, asked | low, "right")
 
 
-def search(asked: DataFrame, mine: DataFrame, history: list[DataFrame], wide: int, deep: int, crowd: int | None) -> DataFrame:
-    """(a, b, old, tree, n) of PACKED blocks asked for, against those of their batch and of the history.
+def search(asked: DataFrame, held: list[DataFrame], number: int, wide: int, deep: int, crowd: int | None) -> DataFrame:
+    """(a, b, old, tree, n) of PACKED blocks asked for, against those ``held``: of their batch, which is run ``number``, and of the history.
 
     A row with a null tree is a candidate: a is a record below a prefix that b shares; ``old`` says that a is of an earlier
     batch, else a < b. A row with a tree says that the wider prefix of b there was put off, as it adds n records, more than ``crowd``.
@@ -165,10 +167,11 @@ def search(asked: DataFrame, mine: DataFrame, history: list[DataFrame], wide: in
     low = mask(wide)
     q = asked.select("cell", *[F.col(c).alias(f"q_{c}") for c in ("first", "last", "labels", "ids")])
     meet = (F.col("last") >= F.col("q_first").bitwiseAND(F.lit(~low))) & (F.col("first") <= F.col("q_last").bitwiseOR(F.lit(low)))
-    met = lambda blocks, mine: blocks.join(q, "cell").where(meet).select("cell", F.lit(mine).alias("mine"), "labels", "ids", "q_labels", "q_ids")
-    rows = met(mine, True)
-    for part in history:
-        rows = rows.unionByName(met(part, False))
+    # both sides lie in buckets of cells: hashing the batch's share of a bucket takes no job of its own, as sending it to all would
+    met = [part.join(q.hint("shuffle_hash"), "cell").where(meet).select("cell", (F.col("run") == number).alias("mine"), "labels", "ids", "q_labels", "q_ids") for part in held]
+    rows = met[0]
+    for part in met[1:]:
+        rows = rows.unionByName(part)
     names = ["a", "b", "old", "tree", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,8 +256,10 @@ class HashForest:
     def _blocks(self, area: str, runs: list[int]) -> DataFrame:
         return self.spark.table(f"{self.name}_{area}").where(F.col("run").isin(runs))
 
-    def _history(self) -> list[DataFrame]:
-        return [self._blocks(a, runs) for a, runs in self.state["areas"].items() if runs]
+    def _held(self, area: str, number: int) -> list[DataFrame]:
+        """Blocks of the history and of the run ``number`` of ``area``."""
+        held = {a: [*runs, number] if a == area else runs for a, runs in self.state["areas"].items()}
+        return [self._blocks(a, runs) for a, runs in held.items() if runs]
 
     def _sets(self, area: str, runs: list[int]) -> DataFrame:
         return self.spark.read.schema("id long, runs array<long>").parquet(*[f"{self.folder}/{area}/sets/run={r}" for r in runs])
@@ -285,9 +290,9 @@ class HashForest:
         kept = self.spark.read.schema("id long, runs array<long>, run int").parquet(f"{self.folder}/{area}/sets")
         packed(leaves(kept), self.state["buckets"]).write.mode("append").insertInto(self._table(area))
         sizes = {r[0]: r[1] for r in kept.groupBy("run").count().toLocalIterator()}  # a row for each batch
-        has_copies = {r[0] for r in self.spark.read.schema("id long, first long, run int").parquet(f"{self.folder}/{area}/copies").select("run").distinct().toLocalIterator()}
+        copies = {r[0]: r[1] for r in self.spark.read.schema("id long, first long, run int").parquet(f"{self.folder}/{area}/copies").groupBy("run").count().toLocalIterator()}
         self.state["areas"][area] = []
-        self.state["waiting"] += [[area, r, sizes.get(r, 0), r in has_copies] for r in number.values()]
+        self.state["waiting"] += [[area, r, sizes.get(r, 0), copies.get(r, 0)] for r in number.values()]
         self._commit()
 
     def ingest(self) -> DataFrame:
@@ -296,11 +301,11 @@ class HashForest:
         Records are judged in the order of their ids, against what earlier batches left accepted and their own batch;
         kept_id is the least accepted match. Ids must be new, but need not be greater than those of earlier batches.
         """
-        area, number, size, has_copies = self.state["waiting"][0]
+        area, number, size, n_copies = self.state["waiting"][0]
         path, schema = f"{self.folder}/repeats/run={number}", "kept_id long, mem_id long"
         none = self.spark.createDataFrame([], schema)
-        pairs = self._pairs(area, number) if size else None
-        copies = self.spark.read.schema("id long, first long").parquet(f"{self.folder}/{area}/copies/run={number}") if has_copies else None
+        candidates, n = self._candidates(area, number) if size else (None, 0)
+        copies = self.spark.read.schema("id long, first long").parquet(f"{self.folder}/{area}/copies/run={number}") if n_copies else None
 
         def write(judged: DataFrame) -> None:
             out = judged
@@ -309,9 +314,16 @@ class HashForest:
                 out = judged.unionByName(follow.select(F.coalesce("kept_id", "first").alias("kept_id"), F.col("id").alias("mem_id")))
             out.write.mode("overwrite").parquet(path)
 
-        if pairs is None:
+        if not n:
             write(none)
+        elif n + n_copies <= shingles.FEW_PAIRS:
+            rows = self._similar(area, number, candidates, n)
+            if copies is not None:
+                rows = rows.unionByName(copies.select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(None).cast("boolean").alias("old")))
+            with planned_once(self.spark):
+                judge_few(rows).write.mode("overwrite").parquet(path)
         else:
+            pairs = materialize(self._similar(area, number, candidates, n), "pairs")
             # where no first record of a pair in the batch repeats anything itself, all of them are accepted
             marked = pairs.join(pairs.select(F.col("b").alias("a"), F.lit(True).alias("again")).distinct(), "a", "left")
             marked, chains = watched(marked, n=F.count_if(F.col("again") & ~F.col("old")))
@@ -331,35 +343,41 @@ class HashForest:
             delete(self.spark, f"{self.folder}/{gone}")
         return self.spark.read.schema(schema).parquet(path)
 
-    def _pairs(self, area: str, number: int) -> DataFrame | None:
-        """(a, b, old) of similar records, b of the batch, a of the batch or accepted before; None where there is no candidate."""
-        mine = self._blocks(area, [number])
-        found = search(mine, mine, self._history(), self.wide, self.deep, CROWD).join(self._gone(), F.col("a") == F.col("mem_id"), "left_anti")
+    def _candidates(self, area: str, number: int) -> tuple[DataFrame, int]:
+        """(a, b, old) below common prefixes, b of the batch, a of the batch or accepted before; and their number."""
+        found = self._alive(search(self._blocks(area, [number]), self._held(area, number), number, self.wide, self.deep, CROWD))
         found, seen = watched(found, pairs=F.count("a"), late=F.count("tree"))
-        found = materialize(found, "candidates")
+        with planned_once(self.spark):
+            found = materialize(found, "candidates")
         counts = seen()
         n, pairs = counts["pairs"], found.where("tree is null").select("a", "b", "old")
         if counts["late"]:
             trees = found.where("tree is not null").groupBy("b", "tree").agg(F.sum("n").alias("n"))
             whole = Window.partitionBy("b")
             trees = trees.withColumn("more", F.lit(self.needed - TREES) + F.count("*").over(whole)).withColumn("place", F.row_number().over(whole.orderBy("n", "tree")))
-            pairs = pairs.unionByName(self._widened(area, number, trees.where("place <= more").select(F.col("b").alias("id"), "tree")))
-            pairs = materialize(pairs.distinct(), "candidates")
-            n = pairs.count()
-        if not n:
-            return None
+            pairs = pairs.unionByName(self._widened(area, number, trees.where("place <= more").select(F.col("b").alias("id"), "tree"))).distinct()
+            pairs, seen = watched(pairs, pairs=F.count("a"))
+            pairs = materialize(pairs, "candidates")
+            n = seen()["pairs"]
+        return pairs, n
+
+    def _similar(self, area: str, number: int, pairs: DataFrame, n: int) -> DataFrame:
+        """Those of the ``n`` candidates whose sets are similar."""
         own = self._sets(area, [number])
         every = own
         for a, runs in self.state["areas"].items():
             every = every.unionByName(self._sets(a, runs)) if runs else every
-        return materialize(verified(pairs, every, own, self.state["threshold"], n), "pairs")
+        return verified(pairs, every, own, self.state["threshold"], n)
+
+    def _alive(self, found: DataFrame) -> DataFrame:
+        """Without what was found as a repeat since the last merge."""
+        return found.join(self._gone(), F.col("a") == F.col("mem_id"), "left_anti") if self.state["added"] else found
 
     def _widened(self, area: str, number: int, chosen: DataFrame) -> DataFrame:
         """Candidates (a, b, old) below the wider prefixes of the (id, tree) in ``chosen``."""
         entries = self._sets(area, [number]).join(chosen.select("id").distinct(), "id", "left_semi").withColumn("run", F.lit(number))
         few = packed(leaves(entries).join(chosen, ["id", "tree"]), self.state["buckets"])
-        found = search(few, self._blocks(area, [number]), self._history(), self.wide, self.deep, None)
-        return found.join(self._gone(), F.col("a") == F.col("mem_id"), "left_anti").select("a", "b", "old")
+        return self._alive(search(few, self._held(area, number), number, self.wide, self.deep, None)).select("a", "b", "old")
 
     def _merge(self) -> list[str]:
         """Merges the ingested runs of all areas into one, without repeats; gives the areas that are no longer needed."""
@@ -397,6 +415,21 @@ class HashForest:
             self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{area}")
 
 
+@contextmanager
+def planned_once(spark: SparkSession) -> Iterator[None]:
+    """Plans that are not adapted at run time: each is one job, besides what it broadcasts.
+
+    Adapting takes a job, threads and a new plan in the driver for every shuffle, of which a batch has no use where sizes are known.
+    """
+    name = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def watched(rows: DataFrame, **counts: Column) -> tuple[DataFrame, Callable[[], dict]]:
     """``rows`` and, for after they were written, aggregates of them that were taken on the way.
 
@@ -418,6 +451,28 @@ def least(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy(F.col("b").alias("mem_id")).agg(F.min("a").alias("kept_id")).select("kept_id", "mem_id")
 
 
+def judge_few(pairs: DataFrame) -> DataFrame:
+    """What ``judge`` gives, in one task, which takes a job where the rounds take several; for pairs that fit into its memory.
+
+    Rows without ``old`` are copies b of a, which follow its judgement.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = list(batches)
+        if parts:
+            t = pa.Table.from_batches(parts).sort_by([("b", "ascending"), ("a", "ascending")])
+            kept, copies = {}, []
+            for a, b, old in zip(*(t.column(c).to_pylist() for c in ("a", "b", "old"))):
+                if old is None:
+                    copies.append((a, b))
+                elif b not in kept and (old or a not in kept):  # in the batch a < b, so a is judged already
+                    kept[b] = a
+            out = [(a, b) for b, a in kept.items()] + [(kept.get(a, a), b) for a, b in copies]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(2)], ["kept_id", "mem_id"])
+
+    return pairs.select("a", "b", "old").repartition(1).mapInArrow(run, "kept_id long, mem_id long")
+
+
 def judge(pairs: DataFrame) -> DataFrame:
     """Acceptance of one batch in the order of ids, by rounds: what has no open smaller match is accepted, and its matches are repeats.
 

@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from cairn.llm import hash_forest, near_duplicates, nearest
+from cairn.llm import hash_forest, near_duplicates, nearest, shingles
 from cairn.llm.near_duplicates import signatures
 from cairn.llm.shingles import word_sets
 
@@ -174,6 +174,39 @@ def test_copies_follow_their_first(spark):
     assert got == {(1, i) for i in range(2, 40)} | {(40, i) for i in range(41, 60)} | {(1, 60), (40, 61)}
 
 
+def test_a_batch_takes_few_jobs(spark):
+    """The driver keeps what it knows of each job, so a batch, here with chains of repeats and copies, must not take many."""
+    records = [(i, (i // 60) + 1, n, d, b) for i, _, n, d, b in corpus(3)]
+    sets = sets_of(records, "name")
+    batches = sorted({r[1] for r in records})
+    forest = hash_forest.HashForest(spark)
+    forest.stage(word_sets(frame(spark, records), "mem_id", "name", "body", 3, more={"batch": "batch_no"}), batches)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        for k in batches:  # too few for a merge
+            spark.sparkContext.setJobGroup(f"batch {k}", "")
+            forest.ingest()
+            assert 0 < len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"batch {k}")) <= 6
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert spark.conf.get("spark.sql.adaptive.enabled") == adaptive
+    assert {tuple(x) for x in forest.repeats().collect()} == sequential(sets, sorted(sets))
+
+
+def test_a_batch_in_one_task_and_in_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    pairs = [(int(a), int(b), False) for a, b in {tuple(sorted(x)) for x in rng.integers(100, 200, (150, 2)).tolist()} if a != b] + [(int(a), int(b), True) for a, b in zip(rng.integers(0, 300, 20), rng.integers(100, 200, 20)) if not 100 <= a < 200]
+    rows = spark.createDataFrame(pairs + pairs[:9], "a long, b long, old boolean")
+    got = [tuple(x) for x in hash_forest.judge_few(rows).collect()]
+    want = {tuple(x) for x in hash_forest.judge(rows).collect()}
+    assert len(got) == len(want) > 20 and set(got) == want
+    copies = spark.createDataFrame([(got[0][1], 900, None), (901, 902, None)], "a long, b long, old boolean")
+    assert {tuple(x) for x in hash_forest.judge_few(rows.unionByName(copies)).collect()} == want | {(got[0][0], 900), (901, 902)}
+    monkeypatch.setattr(shingles, "FEW_PAIRS", 0)  # all batches by rounds and shuffled sets
+    test_batches_equal_sequential_judgement(spark, monkeypatch, 3)
+    test_copies_follow_their_first(spark)
+
+
 def test_batches_empty_and_depth(spark):
     assert hash_forest.found(frame(spark, [])).collect() == []
     assert hash_forest.found(frame(spark, [(1, 0, None, None, None), (2, None, None, None, " ")])).collect() == []
